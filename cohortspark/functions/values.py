@@ -29,7 +29,7 @@ def in_set(col: Column, values: Iterable) -> Column:
 
 def gene_intersect(genes: Column, wanted: Iterable[str]) -> Column:
     """The sorted part of a gene array that is in a constant set."""
-    return F.array_sort(F.array_intersect(genes, literal_array(wanted)))
+    return F.sort_array(F.array_intersect(genes, literal_array(wanted)))
 
 
 def join_genes(genes: Column) -> Column:

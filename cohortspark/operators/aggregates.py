@@ -44,7 +44,7 @@ def validate_ids(df: DataFrame, col: str, source: str, examples: int = 5) -> Dat
         F.coalesce(F.sum((~I.is_valid_id(F.col("id"))).cast("long")), F.lit(0)).alias("n_invalid"),
     )
     shown = (
-        bad.orderBy("id").limit(examples).agg(F.array_join(F.array_sort(F.collect_list("id")), "|").alias("examples"))
+        bad.orderBy("id").limit(examples).agg(F.array_join(F.sort_array(F.collect_list("id")), "|").alias("examples"))
     )
     return counts.crossJoin(F.broadcast(shown)).select(F.lit(source).alias("source"), "n_ids", "n_invalid", "examples")
 
@@ -62,7 +62,7 @@ def patient_mutation_summary(mutations: DataFrame) -> DataFrame:
     return fine.groupBy("Patient_ID").agg(
         F.sum("n").alias("mutation_count"),
         F.size(F.collect_set("Hugo_Symbol")).cast("long").alias("unique_genes"),
-        F.array_join(F.array_sort(F.collect_set("Variant_Classification")), "|").alias("variant_types"),
+        F.array_join(F.sort_array(F.collect_set("Variant_Classification")), "|").alias("variant_types"),
     )
 
 
@@ -72,7 +72,7 @@ def patient_gene_sets(mutations: DataFrame, gene: Column | str = "Hugo_Symbol")
     The distinct on (patient, gene) comes first, so that no task collects raw rows.
     """
     pairs = mutations.select("Patient_ID", (F.col(gene) if isinstance(gene, str) else gene).alias("gene")).distinct()
-    return pairs.groupBy("Patient_ID").agg(F.array_sort(F.collect_list("gene")).alias("mutated_genes"))
+    return pairs.groupBy("Patient_ID").agg(F.sort_array(F.collect_list("gene")).alias("mutated_genes"))
 
 
 def class_distribution(df: DataFrame, col: str, classes: Sequence[str]) -> DataFrame:

@@ -58,7 +58,7 @@ def gene_report(labels: DataFrame, drugs: Mapping[str, str] = C.DRUG_MAP, top: i
     )
     genes = cells.groupBy("Gene").agg(F.sum("_n").alias("N_Patients_Mutated"))
     best = topk_per_group(cells, "Gene", [F.col("_n").desc(), F.col("_cohort")], top, rank="_place")
-    listed = F.array_sort(F.collect_list(F.struct("_place", F.format_string("%s(%d)", "_cohort", "_n").alias("text"))))
+    listed = F.sort_array(F.collect_list(F.struct("_place", F.format_string("%s(%d)", "_cohort", "_n").alias("text"))))
     texts = best.groupBy("Gene").agg(
         F.array_join(F.transform(listed, lambda c: c["text"]), ", ").alias("Top_3_Cancer_Types")
     )

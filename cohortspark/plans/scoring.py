@@ -57,7 +57,7 @@ def score_vectors(vectors: DataFrame, id_col: str, bundle: Bundle, keep: tuple[s
             for g, c in names.items()
         ]
     ).cast("array<struct<minus:double,gene:string,p:double>>")
-    likely = F.slice(F.array_sort(F.filter(pairs, lambda s: s["p"] >= C.GENE_PROBABILITY_MIN)), 1, C.GENE_TOP_K)
+    likely = F.slice(F.sort_array(F.filter(pairs, lambda s: s["p"] >= C.GENE_PROBABILITY_MIN)), 1, C.GENE_TOP_K)
     predicted = F.when(F.col("probability") >= 0.5, C.PREDICTED_POSITIVE).otherwise(C.PREDICTED_NEGATIVE)
     texts = {C.PREDICTED_POSITIVE: C.FOLLOW_UP[C.TARGETABLE], C.PREDICTED_NEGATIVE: C.FOLLOW_UP[C.NON_TARGETABLE]}
     note = F.when(V.is_low_confidence(F.col("probability")), C.LOW_CONFIDENCE_NOTE).otherwise("")
