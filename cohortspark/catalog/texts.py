@@ -63,12 +63,12 @@ def tokenize_pattern(spark, sf):
 
 @query(
     "word_ngrams",
-    with_views("SELECT doc_id, count(*)::INTEGER AS n_grams, md5(string_agg(term, '|' ORDER BY term)) AS digest FROM v_grams GROUP BY doc_id"),
+    with_views("SELECT doc_id, count(term)::INTEGER AS n_grams, md5(coalesce(string_agg(term, '|' ORDER BY term), '')) AS digest FROM documents LEFT JOIN v_grams USING (doc_id) GROUP BY doc_id"),
 )
 def word_ngrams(spark, sf):
     grams = TI.with_ngrams(W.clean_documents(spark, sf), "clean_text")
     joined = F.array_join(F.sort_array("grams"), "|")
-    return grams.where(F.size("grams") > 0).select("doc_id", F.size("grams").alias("n_grams"), F.md5(joined).alias("digest"))
+    return grams.select("doc_id", F.size("grams").alias("n_grams"), F.md5(joined).alias("digest"))
 
 
 @query("strip_accents", "SELECT doc_id, md5(strip_accents(text)) AS digest FROM documents")

@@ -66,8 +66,7 @@ def clean_text(col: Column) -> Column:
 
 def is_nonempty_text(col: Column) -> Column:
     """Text that is there, is not blank and is not the word a missing value was written as."""
-    blank = F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "") == ""
-    return col.isNotNull() & ~blank & (col != "nan")
+    return col.isNotNull() & col.rlike(SPACE.replace("[", "[^", 1)) & (col != "nan")
 
 
 def words(col: Column) -> Column:

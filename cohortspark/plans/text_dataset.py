@@ -15,10 +15,12 @@ def build_text_dataset(labels: DataFrame, reports: DataFrame, order: str = "row_
     """(Patient_ID, clean_text, Mutation_Status): longest report per labelled patient, cleaned, never blank."""
     longest = dedup_longest(reports.select("Patient_ID", "text", order), "Patient_ID", "text", order)
     merged = labels.select("Patient_ID", "Mutation_Status").join(longest, "Patient_ID")
-    cleaned = merged.where(X.is_nonempty_text(F.col("text"))).select(
-        "Patient_ID", X.clean_text(F.col("text")).alias("clean_text"), "Mutation_Status"
+    # A plain filter on clean_text would be pushed below the projection and clean every
+    # text a second time; keeping the non-empty ones of a one-element array does it once.
+    cleaned = F.filter(F.array(X.clean_text(F.col("text"))), lambda t: t != "")
+    return merged.where(X.is_nonempty_text(F.col("text"))).select(
+        "Patient_ID", F.explode(cleaned).alias("clean_text"), "Mutation_Status"
     )
-    return cleaned.where(F.length("clean_text") > 0)
 
 
 def encode_labels(dataset: DataFrame, status: str = "Mutation_Status") -> DataFrame:
