@@ -134,7 +134,7 @@ def tfidf_idf(spark, sf):
 
 @query("tfidf_weights", with_views("SELECT doc_id, term_idx::INTEGER AS term_idx, round(weight, 6) AS weight FROM v_weights"))
 def tfidf_weights(spark, sf):
-    docs = W.clean_documents(spark, sf)
+    docs = W.stored_clean_documents(spark, sf)
     weights = TI.fit_tfidf(docs, "clean_text").weights(docs, "doc_id", "clean_text")
     return weights.withColumn("weight", r6(F.col("weight")))
 
@@ -147,7 +147,7 @@ def tfidf_weights(spark, sf):
     ),
 )
 def tfidf_matrix_stats(spark, sf):
-    docs = W.clean_documents(spark, sf)
+    docs = W.stored_clean_documents(spark, sf)
     model = TI.fit_tfidf(docs, "clean_text")
     stats = TI.matrix_stats(model.weights(docs, "doc_id", "clean_text"), docs, model.table(spark))
     return stats.withColumn("sparsity", r6(F.col("sparsity")))
@@ -175,7 +175,7 @@ def _model_of_labelled(spark, sf, docs):
     with_views(f"WITH {_FIT_ON_LABELLED} SELECT doc_id, term_idx::INTEGER AS term_idx, round(weight, 6) AS weight FROM weights"),
 )
 def tfidf_transform(spark, sf):
-    docs = W.clean_documents(spark, sf)
+    docs = W.stored_clean_documents(spark, sf)
     weights = _model_of_labelled(spark, sf, docs).weights(docs, "doc_id", "clean_text")
     return weights.withColumn("weight", r6(F.col("weight")))
 
@@ -189,7 +189,7 @@ def tfidf_transform(spark, sf):
     ),
 )
 def tfidf_vectors(spark, sf):
-    docs = W.clean_documents(spark, sf)
+    docs = W.stored_clean_documents(spark, sf)
     vectors = _model_of_labelled(spark, sf, docs).stored_vectors(docs, "clean_text")
     parts = vectors.select("doc_id", F.unwrap_udt("features").alias("v"))
     total = F.aggregate("v.values", F.lit(0.0), lambda t, x: t + x)

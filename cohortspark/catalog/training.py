@@ -34,7 +34,7 @@ def _sides(df):
 
 def _labelled_tfidf(spark, sf, max_features=5000):
     """Labelled documents as TF-IDF vectors, stored, with the fitted model."""
-    docs = W.clean_documents(spark, sf)
+    docs = W.stored_clean_documents(spark, sf)
     labels = W.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     labelled = docs.join(labels, "doc_id")
     model = TI.fit_tfidf(labelled, "clean_text", max_features=max_features)
@@ -123,7 +123,7 @@ def per_cohort_models(spark, sf):
 def ensemble_on_split(spark, sf):
     """Classifiers on two feature sets, trained on the same split and averaged on its test side."""
     _, tfidf = _labelled_tfidf(spark, sf)
-    docs = W.clean_documents(spark, sf).join(tfidf.select("doc_id"), "doc_id", "left_semi")
+    docs = W.stored_clean_documents(spark, sf).join(tfidf.select("doc_id"), "doc_id", "left_semi")
     embedded = E.embed(docs, "doc_id", "clean_text", E.HashedTokens(64))
     labels = tfidf.select("doc_id", "label")
     dense = embedded.select("doc_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).join(labels, "doc_id")
@@ -137,7 +137,7 @@ def ensemble_on_split(spark, sf):
 
 def _bundle(spark, sf):
     """Classifier and gene models on hashed embeddings of the labelled documents, saved."""
-    docs = W.clean_documents(spark, sf)
+    docs = W.stored_clean_documents(spark, sf)
     labels = W.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"), "toxic")
     vectors = E.embed(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), "doc_id", "clean_text", E.HashedTokens(64))
     data = stored(

@@ -15,6 +15,7 @@ from cohortspark import constants as C
 from cohortspark.functions import text as X
 from cohortspark.plans import align as AL
 from cohortspark.plans import labeling as L
+from cohortspark.session import stored
 
 KEEP = ("SMALL", "PROMO", "LARGE")
 ARTEFACTS = ("Brand#1", "Brand#2")
@@ -55,7 +56,7 @@ def pid(key: str | Column) -> Column:
 
 
 def raw_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    line = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.nullif(F.col("p_brand"), F.lit("Brand#25")).alias("Hugo_Symbol"),
@@ -69,7 +70,7 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     patient, digest = pid("doc_id"), F.md5(F.col("doc_id").cast("string"))
     name = (
         F.when(F.col("source") == "src7", F.concat(F.lit("scan_"), digest))
@@ -106,6 +107,11 @@ def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", X.clean_text(framed).alias("clean_text"))
 
 
+def stored_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stored table, for jobs that read the cleaned text more than once."""
+    return stored(clean_documents(spark, sf_dir), "clean")
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score with ties and a label for every line, grouped by supplier."""
     return table(spark, sf_dir, "lineitem").select(
@@ -119,7 +125,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One probability per patient (orders without lines have no label row) and the true class."""
-    orders = table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")).select(
         pid("o_orderkey").alias("Patient_ID"), (F.col("o_totalprice") / 550000.0).alias("probability")
     )
     status = labels(spark, sf_dir).select("Patient_ID", "Mutation_Status")

@@ -71,7 +71,8 @@ def fit_forest(
 
 
 def fit_huber(train: DataFrame, label: str = "label", features: str = "features", **options) -> ModifiedHuberModel:
-    weighted = with_balanced_weight(train.select(label, features), label)
+    # every iteration reads the rows once, so the weights are joined on and stored first
+    weighted = stored(with_balanced_weight(train.select(label, features), label), "weighted")
     return fit_modified_huber(weighted, label, features, weight="weight", **options)
 
 
