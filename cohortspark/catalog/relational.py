@@ -202,13 +202,15 @@ _SUMMARY_SQL = """summary AS (SELECT Patient_ID, count(*) AS mutation_count, cou
 @query(
     "align_inner",
     with_views(
-        f"""WITH {_SUMMARY_SQL} SELECT patient_filename, Patient_ID, mutation_count, unique_genes FROM v_reports
-        JOIN summary USING (Patient_ID)"""
+        f"""WITH {_SUMMARY_SQL} SELECT patient_filename, Patient_ID, mutation_count, unique_genes FROM
+          (SELECT *, row_number() OVER (PARTITION BY Patient_ID ORDER BY row_order) AS rn FROM v_reports)
+        JOIN summary USING (Patient_ID) WHERE rn = 1"""
     ),
 )
 def align_inner(spark, sf):
     summary = A.patient_mutation_summary(W.mutations(spark, sf))
-    return W.reports(spark, sf).join(summary, "Patient_ID").select(
+    first = D.dedup_first(W.reports(spark, sf).drop("text"), "Patient_ID", "row_order")
+    return first.join(summary, "Patient_ID").select(
         "patient_filename", "Patient_ID", "mutation_count", "unique_genes"
     )
 

@@ -27,8 +27,16 @@ def with_report_patient(reports: DataFrame) -> DataFrame:
 
 
 def mutations_matched(mutations: DataFrame, reports: DataFrame) -> DataFrame:
-    """Mutation rows of patients that have a report (a patient with very many rows is left to AQE's skew join)."""
-    return mutations.join(reports.select("Patient_ID").distinct(), "Patient_ID", "left_semi").select(
+    """Mutation rows of patients that have a report.
+
+    A patient with very many mutation rows makes one join partition large; adaptive
+    execution splits it, provided that plain shuffles feed the join. Distinct report
+    ids straight below it would be an aggregation instead, so they are made distinct
+    per id and part: at most `parts` rows per id reach the join, on a shuffle of its own.
+    """
+    parts = 32
+    ids = reports.select("Patient_ID", (F.spark_partition_id() % parts).alias("_part")).distinct()
+    return mutations.join(ids.select("Patient_ID"), "Patient_ID", "left_semi").select(
         "Hugo_Symbol", "Variant_Classification", "Patient_ID"
     )
 
