@@ -18,11 +18,18 @@ from pyspark.sql import functions as F
 from cohortspark import constants as C
 from cohortspark.functions import values as V
 
-BUCKETS = 64
+MIN_BUCKETS, MAX_BUCKETS = 64, 16_384
 
 
-def score_cuts(df: DataFrame, score: str, buckets: int = BUCKETS) -> list[float]:
-    """At most `buckets - 1` cut points that divide the scores about evenly (one narrow scan)."""
+def score_cuts(df: DataFrame, score: str, buckets: int | None = None) -> list[float]:
+    """At most `buckets - 1` cut points that divide the scores about evenly (one narrow scan).
+
+    By default there are a few buckets per shuffle partition, so that a session set
+    up for more data also splits the scores more finely.
+    """
+    if buckets is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * partitions))
     quantiles = [i / buckets for i in range(1, buckets)]
     return sorted(set(df.approxQuantile(score, quantiles, 1 / (4 * buckets))))
 

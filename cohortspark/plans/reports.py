@@ -85,7 +85,8 @@ def cohort_report(predictions: DataFrame, min_size: int = C.MIN_COHORT_SIZE) ->
         (F.col("Confidence_Score") >= 0.5).cast("int").alias("_hard"),
     )
     confusion = M.precision_recall_f1(M.confusion_matrix(scored, "True_Label", "_hard", by=["Cancer_Type"]))
-    aucs = M.auc(scored, "True_Label", "Confidence_Score", by=["Cancer_Type"])
+    # four-digit scores: a cohort has at most 10,001 distinct ones, so no cut is needed
+    aucs = M.auc(scored, "True_Label", "Confidence_Score", by=["Cancer_Type"], cuts=[])
     n = F.col("n_pos") + F.col("n_neg")
     return (
         aucs.where(n >= min_size)
