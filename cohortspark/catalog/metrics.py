@@ -232,15 +232,17 @@ def model_selection(spark, sf):
     "model_delta",
     with_views(
         f"""WITH o AS (SELECT * FROM {_sql_results('v_scored', 'score')}),
-        b AS (SELECT * FROM {_sql_results("(SELECT model, side, label, floor(score * 4) AS score FROM v_scored WHERE model <> 7)", 'score')})
+        b AS (SELECT * FROM {_sql_results("(SELECT CASE WHEN model = 7 THEN 'retired' ELSE model::VARCHAR END AS model, side, label, floor(score * 4) AS score FROM v_scored)", 'score')})
         SELECT Model, b.Test_AUC AS "TF-IDF_AUC", o.Test_AUC AS BERT_AUC, round(round_even(o.Test_AUC - b.Test_AUC, 4), 6) AS Delta,
           CASE WHEN round_even(o.Test_AUC - b.Test_AUC, 4) > 0 THEN 'BERT' WHEN round_even(o.Test_AUC - b.Test_AUC, 4) < 0 THEN 'TF-IDF' ELSE 'TIE' END AS Winner
         FROM o LEFT JOIN b USING (Model)"""
     ),
 )
 def model_delta(spark, sf):
-    coarse = W.scored(spark, sf).where("model <> 7").withColumn("score", F.floor(F.col("score") * 4).cast("double"))
-    aucs = M.auc(coarse.withColumn("Model", F.concat(F.lit("model "), "model")), "label", "score", by=["Model", "side"])
+    """A coarser score of the same models, one of which goes by another name there."""
+    coarse = W.scored(spark, sf).withColumn("score", F.floor(F.col("score") * 4).cast("double"))
+    name = F.when(F.col("model") == 7, "retired").otherwise(F.col("model").cast("string"))
+    aucs = M.auc(coarse.withColumn("Model", F.concat(F.lit("model "), name)), "label", "score", by=["Model", "side"])
     base = aucs.groupBy("Model").agg(
         V.round_even(F.max(F.when(F.col("side") == "F", F.col("auc"))), 4).alias("Test_AUC")
     )

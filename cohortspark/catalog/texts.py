@@ -205,18 +205,21 @@ def tfidf_vectors(spark, sf):
 # --- embeddings ----------------------------------------------------------------
 
 _HASHED_SQL = f"""toks AS (SELECT doc_id, unnest(list_slice({sql_words('clean_text')}, 1, {C.MAX_WORDS})) AS word FROM v_clean),
-  bytes AS (SELECT doc_id, i, ('0x' || substr(md5(word), (2 * i + 1)::INTEGER, 2))::INTEGER / 127.5::DOUBLE - 1 AS x FROM toks, range(16) r(i)),
-  pooled AS (SELECT doc_id, i, avg(x) AS x FROM bytes GROUP BY ALL)"""
+  bytes AS (SELECT doc_id, i, ('0x' || substr(md5(word), (2 * i + 1)::INTEGER, 2))::INTEGER AS b FROM toks, range(16) r(i))"""
 
 
 @query(
     "embed_documents",
-    with_views(f"WITH {_HASHED_SQL} SELECT doc_id, i::INTEGER AS dim, round(x, 3) + 0.0::DOUBLE AS x FROM pooled"),
+    with_views(f"WITH {_HASHED_SQL} SELECT doc_id, i::INTEGER AS dim, sum(b)::BIGINT AS total FROM bytes GROUP BY ALL"),
 )
 def embed_documents(spark, sf):
-    vectors = E.embed(W.clean_documents(spark, sf), "doc_id", "clean_text", E.HashedTokens(16))
+    """Mean-pooled vectors, compared by the whole numbers that were averaged."""
+    docs = W.clean_documents(spark, sf)
+    vectors = E.embed(docs, "doc_id", "clean_text", E.HashedTokens(16))
+    n_words = F.least(X.word_count(F.col("clean_text")), F.lit(C.MAX_WORDS))
     long = vectors.select("doc_id", F.posexplode("embedding").alias("dim", "x"))
-    return long.select("doc_id", "dim", (F.round(F.col("x").cast("double"), 3) + 0.0).alias("x"))
+    counted = long.join(docs.select("doc_id", n_words.alias("n")), "doc_id")
+    return counted.select("doc_id", "dim", F.rint((F.col("x") + 1.0) * 127.5 * F.col("n")).cast("long").alias("total"))
 
 
 @query("word2vec_embeddings")
