@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cohortspark import constants as C
 from cohortspark.functions import values as V
 from cohortspark.operators import metrics as M
-from cohortspark.operators.aggregates import with_balanced_weight
+from cohortspark.operators.aggregates import balanced_weights
 from cohortspark.operators.dedup import ranked_limit
 from cohortspark.operators.huber import ModifiedHuberModel, fit_modified_huber
 from cohortspark.operators.splits import stratified_folds, stratified_split
@@ -28,10 +28,27 @@ from cohortspark.session import stored
 Fit = Callable[[DataFrame], object]
 
 
+MAX_CLASSES = 1000
+
+
+def _weighted(train: DataFrame, label: str, features: str) -> tuple[DataFrame, int]:
+    """The rows with their balanced class weight, and how many there are.
+
+    The weights come to the driver (one row per class, checked) and go back as a
+    constant map, so that no iteration of a fit repeats a join.
+    """
+    classes = balanced_weights(train, label).limit(MAX_CLASSES + 1).collect()
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    weights = {row[label]: row.weight for row in classes}
+    return train.select(label, features, V.value_map(F.col(label), weights).alias("weight")), sum(
+        row.n_class for row in classes
+    )
+
+
 def fit_logistic(train: DataFrame, label: str = "label", features: str = "features", c: float = 1.0, max_iter: int = 1000):
     """L2 logistic regression with balanced class weights and inverse regularisation strength c."""
-    weighted = with_balanced_weight(train.select(label, features), label)
-    total = train.count()  # balanced weights sum to the number of rows
+    weighted, total = _weighted(train, label, features)  # balanced weights sum to the number of rows
     return LogisticRegression(
         labelCol=label,
         featuresCol=features,
@@ -55,7 +72,7 @@ def fit_forest(
     seed: int = C.SEED,
 ):
     """Random forest with balanced class weights; size it down for wide sparse features."""
-    weighted = with_balanced_weight(train.select(label, features), label)
+    weighted, _ = _weighted(train, label, features)
     return RandomForestClassifier(
         labelCol=label,
         featuresCol=features,
@@ -71,8 +88,8 @@ def fit_forest(
 
 
 def fit_huber(train: DataFrame, label: str = "label", features: str = "features", **options) -> ModifiedHuberModel:
-    # every iteration reads the rows once, so the weights are joined on and stored first
-    weighted = stored(with_balanced_weight(train.select(label, features), label), "weighted")
+    """Modified Huber classifier with balanced class weights; every iteration reads the rows once."""
+    weighted, _ = _weighted(train, label, features)
     return fit_modified_huber(weighted, label, features, weight="weight", **options)
 
 
@@ -244,7 +261,7 @@ def per_gene_models(
     flags: Mapping[str, Column],
     features: str = "features",
     fit: Fit = fit_logistic,
-    threads: int = 3,
+    threads: int = 8,
 ) -> tuple[dict[str, object], DataFrame]:
     """One balanced classifier per gene with enough positives, and (Gene, N_Positive, N_Negative, AUC, F1)."""
     counts = gene_label_counts(df, flags).where("eligible").drop("eligible")
@@ -286,7 +303,7 @@ def per_cohort_models(
     cohorts: Sequence[str],
     features: str = "features",
     fit: Fit = fit_logistic,
-    threads: int = 3,
+    threads: int = 8,
 ) -> tuple[dict[str, object], DataFrame]:
     """One classifier for each listed cohort that is large enough, and (Cohort, N_Patients, N_Tgt, AUC)."""
     listed = df.where(F.col(cohort).isin(list(cohorts)))
