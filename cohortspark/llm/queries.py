@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import exact_dedup, language_id
+from cohortspark.llm import exact_dedup, jaccard_join, language_id, mixing, packing, rp_forest
 from cohortspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +24,32 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op3_exact_dedup", exact_dedup.ORACLE)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op4_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), words=3, p=90, q=100)
+
+
+@query("op5_mixing", mixing.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.embedding_classes(table(spark, sf_dir, "embeddings"))
