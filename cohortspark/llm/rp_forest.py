@@ -103,8 +103,14 @@ def _compare(min_cosine: float):
         linked = np.flatnonzero(near.any(axis=1))
         edges = [(int(linked[a]), int(linked[b])) for a, b in spanning(near[np.ix_(linked, linked)])]
         counts = near[linked].astype(np.int64) @ copies
-        out = [(ids[i], None, int(n)) for i, n in zip(linked, counts)] + [(ids[a], ids[b], 0) for a, b in edges]
-        return pd.DataFrame(out, columns=["a", "b", "n_links"]).astype({"a": "Int64", "b": "Int64", "n_links": "Int64"})
+        ends = np.array(edges, dtype=np.int64).reshape(-1, 2)
+        none = [None] * len(linked)
+        columns = {
+            "a": [*ids[linked].tolist(), *ids[ends[:, 0]].tolist()],
+            "b": [*none, *ids[ends[:, 1]].tolist()],
+            "n_links": [*counts.tolist(), *[0] * len(ends)],
+        }
+        return pd.DataFrame({name: pd.array(values, dtype="Int64") for name, values in columns.items()})
 
     return run
 
