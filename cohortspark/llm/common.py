@@ -41,11 +41,15 @@ def bounded_sample(rows: DataFrame, label: str, rows_per_label: int, seed: str,
     """About `rows_per_label` rows of each label, chosen by the hash of `keys`; smaller labels whole.
 
     The share kept of a label is `rows_per_label / its rows`, so the sample has a bound that does not
-    grow with the table, the same rows are chosen on every run, and no label is sorted or gathered.
+    grow with the table, and the same rows are chosen on every run. Only the count of each class to be
+    learned reaches the driver; rows are filtered where they are read and none is shuffled.
     """
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return rows
+    shares = F.create_map(*[F.lit(v) for r in counts for v in (r[label], rows_per_label / r["n"])])
     unit = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(counts, label).where(unit * F.col("_n") < float(rows_per_label)).drop("_n")
+    return rows.where(unit < F.element_at(shares, F.col(label)))
 
 
 __all__ = [

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, rp_forest
+from cohortspark.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, pii, rp_forest, warc
 from cohortspark.llm.common import table
 
+#: Secret of the pseudonyms; a deployment passes its own.
+PII_KEY = "cohortspark-demo-key"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +61,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.embedding_classes(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_warc", warc.ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
