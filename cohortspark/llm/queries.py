@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, pii, rp_forest, warc
+from cohortspark.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, pii, rp_forest, toxicity, warc
 from cohortspark.llm.common import table
 
 #: Secret of the pseudonyms; a deployment passes its own.
@@ -71,3 +71,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_pii")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
