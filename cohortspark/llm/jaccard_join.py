@@ -306,10 +306,11 @@ def jaccard_classes(
 def drop_near_duplicates(
     docs: DataFrame, words: int = 5, p: int = 8, q: int = 10, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row of each class: the one its class is named after. Rows without an id stay unless another text equals theirs."""
-    classes = jaccard_classes(docs, words, p, q, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    """One row of each class: the one its class is named after. Rows without an id cannot be named, and stay."""
+    classes = jaccard_classes(docs, words, p, q, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
     names = classes.select(F.col(id_col).alias("_id")).distinct()
-    chosen = docs.join(names, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    named = docs.join(names, F.col(id_col) == F.col("_id"), "left_semi")
     others = [F.col(c) for c in docs.columns if c != id_col]
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(*others))
-    return chosen.withColumn("_copy", first).where((F.col("_copy") == 1) | F.col(id_col).isNull()).select(*docs.columns)
+    named = named.withColumn("_copy", first).where("_copy = 1").select(*docs.columns)
+    return named.union(docs.where(F.col(id_col).isNull()))

@@ -261,18 +261,18 @@ def mix(
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns."""
-    plan = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "copies")
+    plan = mix(docs, **options).where("copies > 0")
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
     # rows that repeat an id are matched by their place among rows of that id and size
     place = Window.partitionBy("_id", "_size")
-    plan = plan.withColumn("_place", F.row_number().over(place.orderBy("copies")))
+    plan = plan.withColumn("_place", F.row_number().over(place.orderBy("_copies")))
     tagged = docs.withColumn("_id", F.col("doc_id")).withColumn("_size", word_count(F.col("text")))
     tagged = tagged.withColumn("_place", F.row_number().over(place.orderBy(*docs.columns)))
-    left, right = tagged.alias("d"), plan.alias("p")
-    same = (
-        F.col("d._id").eqNullSafe(F.col("p._id")) & (F.col("d._size") == F.col("p._size")) & (F.col("d._place") == F.col("p._place"))
-    )
-    joined = left.join(right, same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    d, p = tagged.alias("d"), plan.alias("p")
+    same = F.col("d._id").eqNullSafe(F.col("p._id"))
+    same &= (F.col("d._size") == F.col("p._size")) & (F.col("d._place") == F.col("p._place"))
+    joined = d.join(p, same).select("d.*", F.explode(F.sequence(F.lit(1), F.col("p._copies"))).alias("_copy"))
+    return joined.select(*docs.columns)
 
 
 ORACLE = """
