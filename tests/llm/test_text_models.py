@@ -179,7 +179,7 @@ def test_pseudonyms_keep_the_format_and_can_be_undone(spark):
             f"und {rng.randint(1, 28):02d}.{rng.randint(1, 12):02d}.{rng.randint(1950, 2020)} GB82 WEST 1234 5698 7654 32\nß"
         )
     masked = pseudonyms(spark, texts)
-    shape = lambda t: re.sub("[0-9]", "9", t)
+    shape = lambda t: re.sub("[0-9]", "9", re.sub(r"[0-9]+(?:\.[0-9]+){3}", "address", t))
     for text, row in zip(texts, masked):
         # the first of two spellings of a card leads to the same other card
         assert row.n_pii == 8 and row.n_card == 2 and row.n_date == 2
