@@ -159,7 +159,7 @@ _FIT_ON_LABELLED = f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM v_grams G
   vocab AS (SELECT *, row_number() OVER (ORDER BY term) - 1 AS term_idx, ln((1.0::DOUBLE + (SELECT n_docs FROM n)) / (1.0::DOUBLE + df)) + 1 AS idf FROM
     (SELECT term, count(*) AS df FROM fit GROUP BY term
      HAVING count(*) >= {C.TFIDF_MIN_DF} AND count(*) <= {C.TFIDF_MAX_DF}::DOUBLE * (SELECT n_docs FROM n)
-     ORDER BY sum(tf) DESC, term LIMIT 5000)),
+     ORDER BY sum(tf) DESC, term LIMIT {C.TFIDF_MAX_FEATURES})),
   raw AS (SELECT doc_id, term_idx, (1 + ln(tf::DOUBLE)) * idf AS w FROM tf JOIN vocab USING (term)),
   weights AS (SELECT doc_id, term_idx, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
 
@@ -167,7 +167,7 @@ _FIT_ON_LABELLED = f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM v_grams G
 def _model_of_labelled(spark, sf, docs):
     """A model fitted on the documents that have a label, for use on all documents."""
     labelled = docs.join(W.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    return TI.fit_tfidf(labelled, "clean_text", max_features=5000)
+    return TI.fit_tfidf(labelled, "clean_text")
 
 
 @query(
@@ -204,7 +204,7 @@ def tfidf_vectors(spark, sf):
 
 # --- embeddings ----------------------------------------------------------------
 
-_HASHED_SQL = f"""toks AS (SELECT doc_id, unnest(list_slice({sql_words('clean_text')}, 1, {C.MAX_WORDS})) AS word FROM v_clean),
+_HASHED_SQL = f"""toks AS (SELECT doc_id, unnest({sql_words('clean_text')}) AS word FROM v_clean),
   bytes AS (SELECT doc_id, i, ('0x' || substr(md5(word), (2 * i + 1)::INTEGER, 2))::INTEGER AS b FROM toks, range(16) r(i))"""
 
 
@@ -216,7 +216,7 @@ def embed_documents(spark, sf):
     """Mean-pooled vectors, compared by the whole numbers that were averaged."""
     docs = W.stored_clean_documents(spark, sf)
     vectors = E.embed(docs, "doc_id", "clean_text", E.HashedTokens(16))
-    n_words = F.least(X.word_count(F.col("clean_text")), F.lit(C.MAX_WORDS))
+    n_words = X.word_count(F.col("clean_text"))
     long = vectors.select("doc_id", F.posexplode("embedding").alias("dim", "x"))
     counted = long.join(docs.select("doc_id", n_words.alias("n")), "doc_id")
     return counted.select("doc_id", "dim", F.rint((F.col("x") + 1.0) * 127.5 * F.col("n")).cast("long").alias("total"))
@@ -224,7 +224,7 @@ def embed_documents(spark, sf):
 
 @query("word2vec_embeddings")
 def word2vec_embeddings(spark, sf):
-    return E.word2vec_embed(W.clean_documents(spark, sf), "doc_id", "clean_text", dim=16, min_count=5)
+    return E.word2vec_embed(W.clean_documents(spark, sf), "doc_id", "clean_text")
 
 
 @query(

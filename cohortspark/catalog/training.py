@@ -19,10 +19,6 @@ from cohortspark.plans import scoring as SC
 from cohortspark.session import scratch_path, stored
 from cohortspark.sources import checkpoints as K
 
-# forests are sized for the wide, small test tables; the operator's default is 300 trees
-TREES, DEPTH, STEPS = 20, 8, 60
-
-
 def _split_vectors(spark, sf):
     data = W.vectors(spark, sf).select("vec_id", "features", "label", "targetable_genes")
     return stored(S.stratified_split(data, "vec_id", "label"), "vectors")
@@ -32,12 +28,12 @@ def _sides(df):
     return tuple(df.where(F.col("split") == side).drop("split") for side in ("train", "test"))
 
 
-def _labelled_tfidf(spark, sf, max_features=5000):
+def _labelled_tfidf(spark, sf):
     """Labelled documents as TF-IDF vectors, stored, with the fitted model."""
     docs = W.stored_clean_documents(spark, sf)
     labels = W.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     labelled = docs.join(labels, "doc_id")
-    model = TI.fit_tfidf(labelled, "clean_text", max_features=max_features)
+    model = TI.fit_tfidf(labelled, "clean_text")
     return model, model.stored_vectors(labelled, "clean_text")
 
 
@@ -54,7 +50,7 @@ def train_logistic(spark, sf):
 def train_forest(spark, sf):
     """Test scores of the forest on the vectors."""
     train, test = _sides(_split_vectors(spark, sf))
-    model = T.fit_forest(train, num_trees=TREES, max_depth=DEPTH)
+    model = T.fit_forest(train)
     return T.score_all(model, test).select("vec_id", "label", "probability", "prediction")
 
 
@@ -63,7 +59,7 @@ def train_modified_huber(spark, sf):
     """Test scores of the Huber classifier on TF-IDF vectors."""
     _, vectors = _labelled_tfidf(spark, sf)
     train, test = _sides(S.stratified_split(vectors, "doc_id", "label"))
-    model = T.fit_huber(stored(train, "train"), max_iter=STEPS)
+    model = T.fit_huber(stored(train, "train"))
     return T.score_all(model, test).select("doc_id", "label", "probability", "prediction")
 
 
@@ -82,26 +78,29 @@ def score_all(spark, sf):
 @query("cv_auc")
 def cv_auc(spark, sf):
     train, _ = _sides(_split_vectors(spark, sf))
-    models = T.default_models(num_trees=TREES, max_depth=DEPTH)
-    return T.cv_auc(train.drop("targetable_genes"), "vec_id", {k: models[k] for k in ("Logistic Regression", "Random Forest")})
+    return T.cv_auc(train.drop("targetable_genes"), "vec_id", T.default_models())
 
 
 @query("model_results")
 def model_results(spark, sf):
     train, test = (side.drop("targetable_genes") for side in _sides(_split_vectors(spark, sf)))
-    models = T.default_models(num_trees=TREES, max_depth=DEPTH, max_iter=STEPS)
-    return T.model_results(train, test, "vec_id", models, k=3)
+    return T.model_results(train, test, "vec_id", T.default_models())
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    """Strongest terms of a linear model and of a forest on TF-IDF vectors."""
+    """Strongest terms of a linear model on TF-IDF vectors, strongest dimensions of a forest on dense ones."""
     model, vectors = _labelled_tfidf(spark, sf)
     train, _ = _sides(S.stratified_split(vectors, "doc_id", "label"))
     train = stored(train, "train")
     vocab = model.table(spark)
     linear = T.feature_importance(T.fit_logistic(train), vocab)
-    forest = T.feature_importance(T.fit_forest(train, num_trees=TREES, max_depth=DEPTH), vocab)
+    dense, _ = _sides(_split_vectors(spark, sf))
+    forest_model = T.fit_forest(dense)
+    names = spark.range(forest_model.numFeatures).select(
+        F.col("id").cast("int").alias("term_idx"), F.format_string("dimension %d", "id").alias("term")
+    )
+    forest = T.feature_importance(forest_model, names)
     return linear.withColumn("model", F.lit("logistic")).unionAll(forest.withColumn("model", F.lit("forest")))
 
 
@@ -149,7 +148,7 @@ def _bundle(spark, sf):
     flags = {"KRAS": F.col("label"), "BRAF": 1 - F.col("label"), "EGFR": F.col("toxic")}
     genes, _ = T.per_gene_models(data, "doc_id", flags)
     path = scratch_path(spark, "bundle")
-    K.Bundle(T.fit_logistic(data.select("doc_id", "features", "label")), genes, 64).save(spark, path)
+    K.Bundle(T.fit_logistic(data.select("doc_id", "features", "label")), genes, 64, E.HashedTokens(64).name).save(spark, path)
     return path
 
 
@@ -157,8 +156,8 @@ def _bundle(spark, sf):
     "bundle_manifest",
     f"""WITH p AS (SELECT sum(quality) AS KRAS, sum(1 - quality) AS BRAF, sum(toxic) AS EGFR FROM labels JOIN documents USING (doc_id)),
     g AS (SELECT gene FROM (SELECT unnest(['KRAS', 'BRAF', 'EGFR']) AS gene, unnest([KRAS, BRAF, EGFR]) AS n FROM p) WHERE n >= {C.MIN_GENE_POSITIVES})
-    SELECT 'classifier' AS name, 'LogisticRegressionModel' AS kind, NULL::VARCHAR AS gene, 'classifier' AS path, 64::INTEGER AS dim
-    UNION ALL SELECT 'gene_' || gene, 'LogisticRegressionModel', gene, 'genes/' || gene, 64 FROM g""",
+    SELECT 'classifier' AS name, 'LogisticRegressionModel' AS kind, NULL::VARCHAR AS gene, 'classifier' AS path, 64::INTEGER AS dim, 'hashed-tokens-64' AS encoder
+    UNION ALL SELECT 'gene_' || gene, 'LogisticRegressionModel', gene, 'genes/' || gene, 64, 'hashed-tokens-64' FROM g""",
 )
 def bundle_manifest(spark, sf):
     return K.bundle_manifest(spark, _bundle(spark, sf))

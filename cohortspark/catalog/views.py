@@ -15,7 +15,7 @@ from cohortspark import constants as C
 from cohortspark.functions import text as X
 from cohortspark.plans import align as AL
 from cohortspark.plans import labeling as L
-from cohortspark.session import stored
+from cohortspark.session import SPREAD, stored
 
 KEEP = ("SMALL", "PROMO", "LARGE")
 ARTEFACTS = ("Brand#1", "Brand#2")
@@ -38,12 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores is dealt out over all cores; a large one is left alone.
+    """A scan dealt out over as many partitions as the session asks for (`session.SPREAD`), by default not at all.
 
-    Meant for rows that are costly to process, right after a plain scan.
+    For one machine with files that cannot be split; a cluster leaves the setting alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    partitions = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def pid(key: str | Column) -> Column:
@@ -174,7 +174,7 @@ def sql_clean(text: str) -> str:
         for _ in range(2):
             out = f"regexp_replace({out}, '(^|{edge}){short}($|{edge})', '\\1{full}\\2', 'g')"
     for pattern in C.BOILERPLATE_PATTERNS:
-        regex = pattern.replace("{s}", X.SPACE).replace("{d}", r"\p{Nd}")
+        regex = pattern.replace("\\s", X.SPACE).replace("\\d", r"\p{Nd}")
         out = f"regexp_replace({out}, '{regex}', '', 'g')"
     return sql_clean_min(out)
 

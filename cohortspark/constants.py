@@ -157,12 +157,12 @@ BOILERPLATE_PATTERNS = (
     "electronically signed.*",
     "this report was generated.*",
     "end of report.*",
-    "pathology report.*page {d}+.*",
+    r"pathology report.*page \d+.*",
     "printed on.*",
     "disclaimer:.*",
     "this is a confidential.*",
-    r"copy{s}*no\.?{s}*{d}+",
-    "page{s}*{d}+{s}*/{s}*{d}+",
+    r"copy\s*no\.?\s*\d+",
+    r"page\s*\d+\s*/\s*\d+",
 )
 
 # --- Fixed values: TF-IDF token, on cleaned text ----------------------------

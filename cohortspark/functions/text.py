@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 
 from cohortspark import constants as C
 
-WORD = r"[\p{L}\p{N}_]"
+# U+10400 is a letter anyhow; a class that names a character above U+FFFF is matched by code points,
+# so that a look-behind never sees half of a neighbour
+WORD = "[\\p{L}\\p{N}_\U00010400]"
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 DIGIT = r"\p{Nd}"
 
@@ -28,8 +30,8 @@ DIGIT = r"\p{Nd}"
 def boilerplate_regex(pattern: str) -> str:
     # The text is lower case already, so ignoring case adds just the two letters
     # whose upper case is that of "s" or "i"; (?d) makes "\n" the only line end.
-    folded = re.sub(r"(?<!\{)s(?!\})", "[s\u017f]", pattern).replace("i", "[i\u0131]")
-    return "(?d)" + folded.replace("{s}", SPACE).replace("{d}", DIGIT)
+    folded = re.sub(r"(?<!\\)s", "[s\u017f]", pattern).replace("i", "[i\u0131]")
+    return "(?d)" + folded.replace("\\s", SPACE).replace("\\d", DIGIT)
 
 
 def expand_abbreviations(col: Column) -> Column:

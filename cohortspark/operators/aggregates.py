@@ -12,7 +12,6 @@ from cohortspark.functions import ids as I
 from cohortspark.functions import text as X
 from cohortspark.functions import values as V
 from cohortspark.operators.dedup import topk_per_group
-from cohortspark.session import small
 
 
 def source_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -77,11 +76,12 @@ def patient_gene_sets(mutations: DataFrame, gene: Column | str = "Hugo_Symbol")
 
 def class_distribution(df: DataFrame, col: str, classes: Sequence[str]) -> DataFrame:
     """Count and percentage of every listed class in list order; an absent class shows as zero."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
+    # as many rows as classes are listed, whatever else the column holds
+    counts = df.where(F.col(col).isin(list(classes))).groupBy(F.col(col).alias("_class")).agg(F.count(F.lit(1)).alias("n"))
+    total = df.agg(F.count(F.lit(1)).alias("total"))
     listed = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(classes)], "ord int, class string")
     return (
-        listed.join(small(counts), F.col("class") == F.col(col), "left")
+        listed.join(counts, F.col("class") == F.col("_class"), "left")
         .crossJoin(F.broadcast(total))
         .select(
             "ord",
@@ -193,7 +193,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 def with_balanced_weight(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
     weights = balanced_weights(df, label).select(label, F.col("weight").alias(weight))
-    return df.join(small(weights), label)
+    return df.join(weights, label)
 
 
 def pos_weight(df: DataFrame, label: str) -> DataFrame:

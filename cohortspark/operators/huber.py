@@ -2,21 +2,24 @@
 
 Spark ML has no such loss. The weighted mean loss and its gradient are sums over
 rows: every partition adds up its Arrow batches, the partial sums are reduced
-per coordinate by a shuffle, and the driver gets one row per coordinate and
-takes a proximal gradient step. Driver memory depends on the number of features
-only.
+per coordinate by a shuffle, and the driver gets one row per coordinate and takes a
+quasi-Newton step. Driver memory depends on the number of features only.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 
 def huber_loss(margin: np.ndarray) -> np.ndarray:
     """Loss at margin m = y * f(x): 0 from 1 up, (1 - m)^2 from -1 up, -4m below."""
@@ -60,6 +63,31 @@ class ModifiedHuberModel:
     intercept: float
     objective: float
     iterations: int
+    converged: bool = True
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row per non-zero coefficient, and the rest of the model under position -1."""
+        used = np.flatnonzero(self.coefficients)
+        rows = [(int(i), float(self.coefficients[i])) for i in used]
+        rows += [(-1, self.intercept), (-2, float(len(self.coefficients))), (-3, float(self.objective))]
+        rows += [(-4, float(self.iterations)), (-5, float(self.converged))]
+        spark.createDataFrame(rows, "position int, value double").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, path: str) -> "ModifiedHuberModel":
+        spark = SparkSession.getActiveSession()
+        found = {r.position: r.value for r in spark.read.parquet(path).collect()}  # bounded by the features
+        coefficients = np.zeros(int(found[-2]))
+        for i, value in found.items():
+            if i >= 0:
+                coefficients[i] = value
+        return cls(coefficients, found[-1], found[-3], int(found[-4]), bool(found[-5]))
+
+    def probability(self, features: Column) -> Column:
+        """The probability as an expression of a dense vector column, for rows scored one by one."""
+        weights = F.split(F.lit(",".join(map(repr, self.coefficients.tolist()))), ",").cast("array<double>")
+        products = F.zip_with(vector_to_array(features), weights, lambda x, w: x * w)
+        return probability_column(F.aggregate(products, F.lit(float(self.intercept)), lambda t, v: t + v))
 
     def transform(self, df: DataFrame, features: str = "features", probability: str = "probability") -> DataFrame:
         """Add the decision value and the probability (clip(f, -1, 1) + 1) / 2."""
@@ -93,9 +121,9 @@ def fit_modified_huber(
 ) -> ModifiedHuberModel:
     """Minimise sum(w * loss) / sum(w) + alpha * (l1_ratio |b|_1 + (1 - l1_ratio) / 2 |b|^2).
 
-    The intercept carries no penalty. Accelerated proximal steps with restart; the
-    step length comes from the mean squared row length, which bounds the curvature.
-    `df` should be stored or cached, as every iteration reads it once.
+    The intercept carries no penalty. Quasi-Newton steps on the driver, each a pass over the
+    rows; `converged` of the model tells whether the optimum was reached within `max_iter` passes.
+    `df` should be stored or cached.
     """
     spark = df.sparkSession
     data = df.select(
@@ -103,12 +131,8 @@ def fit_modified_huber(
         (F.col(label) * 2 - 1).cast("double").alias("y"),
         (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"),
     )
-    squares = F.aggregate(F.col("x.values"), F.lit(0.0), lambda t, v: t + v * v)
     dim = F.max(F.coalesce(F.col("x.size"), F.size("x.values")))
-    total, mean_square, d = data.agg(
-        F.sum("w"), F.sum(F.col("w") * (squares + 1)) / F.sum("w"), dim
-    ).first()
-    step = 1.0 / (2.0 * mean_square + alpha * (1 - l1_ratio))
+    total, d = data.agg(F.sum("w"), dim).first()
 
     def loss_and_gradient(point: np.ndarray) -> tuple[float, np.ndarray]:
         shared = spark.sparkContext.broadcast(point)
@@ -138,23 +162,58 @@ def fit_modified_huber(
         value = sums[d + 1] / total + smooth / 2 * point[:d] @ point[:d]
         return value, gradient
 
-    def shrink(point: np.ndarray) -> np.ndarray:
-        out = point.copy()
-        out[:d] = np.sign(point[:d]) * np.maximum(np.abs(point[:d]) - step * alpha * l1_ratio, 0.0)
-        return out
-
-    current = np.zeros(d + 1)
-    ahead, momentum = current, 1.0
-    for done in range(1, max_iter + 1):
-        value, gradient = loss_and_gradient(ahead)
-        following = shrink(ahead - step * gradient)
-        if (ahead - following) @ (following - current) > 0:
-            momentum = 1.0
-        next_momentum = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        moved = np.linalg.norm(following - ahead) / step
-        ahead = following + (momentum - 1) / next_momentum * (following - current)
-        current, momentum = following, next_momentum
-        if moved <= tolerance:
-            break
-    value, _ = loss_and_gradient(current)
-    return ModifiedHuberModel(current[:d], float(current[d]), value + alpha * l1_ratio * np.abs(current[:d]).sum(), done)
+    penalty = np.full(d + 1, alpha * l1_ratio)
+    penalty[d] = 0.0
+    point, value, passes, converged = minimise(loss_and_gradient, penalty, max_iter, tolerance)
+    if not converged:
+        log.warning("the Huber classifier has not converged after %d passes", passes)
+    return ModifiedHuberModel(point[:d], float(point[d]), value, passes, converged)
+
+
+def minimise(loss_and_gradient, penalty: np.ndarray, max_passes: int, tolerance: float, memory: int = 10):
+    """The point that minimises loss + penalty * |point|, by quasi-Newton steps kept inside an orthant.
+
+    Returns the point, its objective, the passes over the data, and whether the smallest
+    subgradient fell below the tolerance.
+    """
+
+    def steepest(point: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        """The subgradient of least length."""
+        at_zero = np.sign(gradient) * np.maximum(np.abs(gradient) - penalty, 0.0)
+        return np.where(point != 0, gradient + penalty * np.sign(point), at_zero)
+
+    point = np.zeros(len(penalty))
+    loss, gradient = loss_and_gradient(point)
+    objective, passes, steps = loss + penalty @ np.abs(point), 1, []
+    while True:
+        slope = steepest(point, gradient)
+        if np.linalg.norm(slope) <= tolerance * max(1.0, np.linalg.norm(point)):
+            return point, objective, passes, True
+        direction, held = slope.copy(), []
+        for s, y in reversed(steps):
+            held.append((s @ direction) / (s @ y))
+            direction -= held[-1] * y
+        if steps:
+            s, y = steps[-1]
+            direction *= (s @ y) / (y @ y)
+        for (s, y), a in zip(steps, reversed(held)):
+            direction += (a - (y @ direction) / (s @ y)) * s
+        direction = np.where(direction * slope > 0, -direction, 0.0)
+        orthant = np.where(point != 0, np.sign(point), -np.sign(slope))
+        step = 1.0 if steps else 1.0 / np.linalg.norm(slope)
+        while True:
+            if passes >= max_passes:
+                return point, objective, passes, False
+            moved = point + step * direction
+            moved = np.where((moved * orthant > 0) | (penalty == 0), moved, 0.0)
+            loss, new_gradient = loss_and_gradient(moved)
+            new_objective, passes = loss + penalty @ np.abs(moved), passes + 1
+            if new_objective <= objective + 1e-4 * slope @ (moved - point):
+                break
+            step /= 2
+            if step < 1e-12:
+                return point, objective, passes, False
+        s, y = moved - point, new_gradient - gradient
+        if s @ y > 1e-12 * (y @ y):
+            steps = [*steps[-memory + 1 :], (s, y)]
+        point, gradient, objective = moved, new_gradient, new_objective

@@ -17,19 +17,17 @@ from pyspark.sql import functions as F
 
 from cohortspark import constants as C
 from cohortspark.functions import values as V
-
-MIN_BUCKETS, MAX_BUCKETS = 64, 16_384
-
+from cohortspark.session import stored
 
 def score_cuts(df: DataFrame, score: str, buckets: int | None = None) -> list[float]:
-    """At most `buckets - 1` cut points that divide the scores about evenly (one narrow scan).
+    """At most `buckets - 1` cut points that divide the rows of `df` about evenly (one narrow scan).
 
-    By default there are a few buckets per shuffle partition, so that a session set
-    up for more data also splits the scores more finely.
+    Meant for rows that are distinct in their score: then ties, however many, cannot
+    draw several cuts to one place. By default there are four buckets per shuffle
+    partition, so that a session set up for more data also splits the scores more finely.
     """
     if buckets is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * partitions))
+        buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     quantiles = [i / buckets for i in range(1, buckets)]
     return sorted(set(df.approxQuantile(score, quantiles, 1 / (4 * buckets))))
 
@@ -52,6 +50,14 @@ def _score_counts(df: DataFrame, label: str, score: str, by: Sequence[str]) -> D
     )
 
 
+def _bucketed_counts(
+    df: DataFrame, label: str, score: str, by: Sequence[str], cuts: Sequence[float] | None
+) -> DataFrame:
+    """Counts per (group, distinct score), stored so that the input is evaluated once, and the bucket of each."""
+    counts = stored(_score_counts(df, label, score, by), "scores")
+    return _with_bucket(counts, "score", score_cuts(counts, "score") if cuts is None else cuts)
+
+
 def auc(
     df: DataFrame,
     label: str,
@@ -64,8 +70,7 @@ def auc(
     Per group: auc, n_pos, n_neg; auc is NULL where a class is missing.
     """
     by = list(by)
-    cuts = score_cuts(df, score) if cuts is None else cuts
-    counts = _with_bucket(_score_counts(df, label, score, by), "score", cuts)
+    counts = _bucketed_counts(df, label, score, by, cuts)
     inside = Window.partitionBy(*by, "_bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(inside), F.lit(0))
     cells = (
@@ -101,8 +106,7 @@ def roc_curve(
     and last score of a group always stay.
     """
     by = list(by)
-    cuts = score_cuts(df, score) if cuts is None else cuts
-    counts = _with_bucket(_score_counts(df, label, score, by), "score", cuts)
+    counts = _bucketed_counts(df, label, score, by, cuts)
     step = F.struct("pos", "neg")
 
     cells = counts.groupBy(*by, "_bucket").agg(

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark import constants as C
-from cohortspark.session import small
 
 BUCKET_DIGITS = 4  # 65,536 buckets per class
 
@@ -45,18 +44,17 @@ def stratified_split(
 ) -> DataFrame:
     """Add `split`: of every class the first ceil(fraction * n) rows in hash order are 'test'.
 
-    The wide rows are never shuffled: the cut between test and train is one
-    (hash, id) per class, found from the bucket counts and the one bucket the cut
-    falls into, and the rows are then compared with it. Ids must be unique.
+    The cut between test and train is one (hash, id) per class, found from the bucket
+    counts and the one bucket the cut falls into, and the rows are then compared with
+    it: by a broadcast where Spark measures the cuts as small, else by a join whose
+    skewed classes adaptive execution splits. Ids must be unique.
     """
     keys = _hashed(df.select(id_col, label), id_col, seed, digits)
     cells = _bucket_offsets(keys, label).withColumn("_n_test", F.ceil(F.col("_class") * F.lit(test_fraction)))
     edge = cells.where("_before < _n_test AND _n_test <= _before + _in").select(
         F.col(label).alias("_label"), F.col("_bucket").alias("_edge"), "_before", "_n_test"
     )
-    in_edge = keys.join(
-        small(edge), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_edge"))
-    )
+    in_edge = keys.join(edge, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_edge")))
     place = F.row_number().over(Window.partitionBy("_label").orderBy("_hash", id_col))
     cut = (
         in_edge.withColumn("_place", place + F.col("_before"))
@@ -65,7 +63,7 @@ def stratified_split(
     )
     row_order = F.struct(hash_order(id_col, seed).alias("_hash"), F.col(id_col).alias("_id"))
     return (
-        df.join(small(cut), F.col(label).eqNullSafe(F.col("_label")), "left")
+        df.join(cut, F.col(label).eqNullSafe(F.col("_label")), "left")
         .withColumn("split", F.when(row_order <= F.col("_cut"), "test").otherwise("train"))
         .drop("_label", "_cut")
     )
@@ -74,11 +72,13 @@ def stratified_split(
 def hash_rank(df: DataFrame, id_col: str, label: str, seed: int = C.SEED, digits: int = BUCKET_DIGITS) -> DataFrame:
     """Add `rank`: the 1-based place of a row in the hash order of its class."""
     keys = _hashed(df, id_col, seed, digits)
-    offsets = _bucket_offsets(keys.select(label, "_bucket"), label).select(label, "_bucket", "_before")
+    offsets = _bucket_offsets(keys.select(label, "_bucket"), label).select(
+        F.col(label).alias("_label"), F.col("_bucket").alias("_of"), "_before"
+    )
     place = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_hash", id_col))
     return (
         keys.withColumn("_place", place)
-        .join(offsets, [label, "_bucket"])
+        .join(offsets, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_of")))
         .withColumn("rank", F.col("_place") + F.col("_before"))
         .select(*df.columns, "rank")
     )

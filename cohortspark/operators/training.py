@@ -28,18 +28,15 @@ from cohortspark.session import stored
 Fit = Callable[[DataFrame], object]
 
 
-MAX_CLASSES = 1000
-
-
 def _weighted(train: DataFrame, label: str, features: str) -> tuple[DataFrame, int]:
     """The rows with their balanced class weight, and how many there are.
 
-    The weights come to the driver (one row per class, checked) and go back as a
-    constant map, so that no iteration of a fit repeats a join.
+    The fits are binary: the two weights come to the driver and go back as a constant
+    map, so that no iteration of a fit repeats a join.
     """
-    classes = balanced_weights(train, label).limit(MAX_CLASSES + 1).collect()
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    classes = balanced_weights(train, label).limit(3).collect()
+    if len(classes) > 2:
+        raise ValueError(f"{label} has more than two classes")
     weights = {row[label]: row.weight for row in classes}
     return train.select(label, features, V.value_map(F.col(label), weights).alias("weight")), sum(
         row.n_class for row in classes
@@ -71,7 +68,11 @@ def fit_forest(
     max_depth: int = 30,
     seed: int = C.SEED,
 ):
-    """Random forest with balanced class weights; size it down for wide sparse features."""
+    """Random forest with balanced class weights.
+
+    Spark's trees keep one integer per row and feature, so a wide sparse set costs rows times
+    width; run it on the dense set.
+    """
     weighted, _ = _weighted(train, label, features)
     return RandomForestClassifier(
         labelCol=label,
@@ -142,7 +143,7 @@ def cv_scores(df: DataFrame, id_col: str, models: Mapping[str, Fit], label: str
         )
         for (name, fold), model in fitted.items()
     ]
-    return union_all(parts)
+    return stored(union_all(parts), "cv-scores")
 
 
 def cv_auc(df: DataFrame, id_col: str, models: Mapping[str, Fit], label: str = "label", k: int = C.CV_FOLDS) -> DataFrame:
@@ -170,7 +171,7 @@ def model_results(
         for name, model in fitted.items()
         for side, part in (("train", train), ("test", test))
     ]
-    scores = union_all(parts)
+    scores = stored(union_all(parts), "model-scores")
     aucs = M.auc(scores, label, "probability", by=["Model", "side"])
     wide = aucs.groupBy("Model").agg(
         *[
@@ -236,7 +237,7 @@ def gene_label_counts(df: DataFrame, flags: Mapping[str, Column], min_positives:
 
 def _binary_scores(df: DataFrame, id_col: str, name: str, fit: Fit) -> tuple[object, DataFrame]:
     """Fit on the train side of the split of this label; scores of the test side."""
-    sides = stratified_split(df, id_col, "label")
+    sides = stored(stratified_split(df, id_col, "label"), "sides")
     model = fit(sides.where("split = 'train'").drop("split"))
     test = score_all(model, sides.where("split = 'test'").drop("split"))
     return model, test.select(F.lit(name).alias("name"), "label", "probability", "prediction")
@@ -245,7 +246,7 @@ def _binary_scores(df: DataFrame, id_col: str, name: str, fit: Fit) -> tuple[obj
 def _fit_each(frames: Mapping[str, DataFrame], id_col: str, fit: Fit, threads: int) -> tuple[dict, DataFrame | None]:
     tasks = {name: (lambda n=name, d=frame: _binary_scores(d, id_col, n, fit)) for name, frame in frames.items()}
     done = in_parallel(tasks, threads)
-    scores = union_all([scores for _, scores in done.values()]) if done else None
+    scores = stored(union_all([scores for _, scores in done.values()]), "test-scores") if done else None
     return {name: model for name, (model, _) in done.items()}, scores
 
 

@@ -197,12 +197,23 @@ def clinical_summary(predictions: DataFrame, labels: DataFrame, genes: DataFrame
     return one.select(F.inline(F.array(*rows))).unionAll(top_genes).unionAll(top_cohorts)
 
 
+#: Sections of the summary in the order in which they are printed.
+SECTIONS = (
+    "COHORT OVERVIEW",
+    "MODEL PERFORMANCE",
+    "CLINICAL IMPACT",
+    "TOP 5 MOST ACTIONABLE GENES IN COHORT",
+    "TARGETABLE MUTATION PREVALENCE BY CANCER TYPE",
+)
+
+
 def summary_lines(summary: DataFrame) -> DataFrame:
-    """The summary as lines of text, for `sources.delimited.write_lines`."""
+    """The summary as lines of text in the order of its sections, for `sources.delimited.write_lines`."""
+    place = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
     shown = F.when(F.col("value") == F.floor("value"), F.format_string("%.0f", "value")).otherwise(
         F.format_string("%.4f", "value")
     )
     return summary.select(
-        F.concat_ws("|", "section", F.lpad(F.col("ord").cast("string"), 4, "0")).alias("ord"),
+        (place * 10_000 + F.col("ord")).alias("ord"),
         F.concat(F.col("section"), F.lit(" | "), F.col("metric"), F.lit(": "), F.coalesce(shown, F.lit("N/A"))).alias("line"),
     )

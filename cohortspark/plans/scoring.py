@@ -13,11 +13,14 @@ from cohortspark import constants as C
 from cohortspark.functions import text as X
 from cohortspark.functions import values as V
 from cohortspark.operators.dedup import topk_per_group
-from cohortspark.operators.embedding import EncoderFactory, embed
+from cohortspark.operators.embedding import EncoderFactory, embed, encoder_name
+from cohortspark.operators.huber import ModifiedHuberModel
 from cohortspark.sources.checkpoints import Bundle
 
 
 def _probability(df: DataFrame, model, out: str) -> DataFrame:
+    if isinstance(model, ModifiedHuberModel):
+        return df.withColumn(out, model.probability(F.col("features")))
     scored = model.transform(df)
     produced = [model.getProbabilityCol(), model.getRawPredictionCol(), model.getPredictionCol()]
     return scored.withColumn(out, vector_to_array(model.getProbabilityCol())[1]).drop(*produced)
@@ -42,11 +45,15 @@ def likely_genes(
 
 
 def score_vectors(vectors: DataFrame, id_col: str, bundle: Bundle, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Class, confidence, likely genes and follow-up for rows with an `embedding` array.
+    """Class, confidence, likely genes, follow-up and encoder for rows with an `embedding` array.
 
-    Everything happens inside a row, so this holds for batch and stream alike.
+    Everything happens inside a row, so this holds for batch and stream alike. A vector
+    of another width than the models were trained on fails the query.
     """
-    df = vectors.select(id_col, *keep, array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    width = F.when(F.size("embedding") == bundle.dim, F.col("embedding")).otherwise(
+        F.raise_error(F.lit(f"the bundle expects vectors of width {bundle.dim}")).cast("array<float>")
+    )
+    df = vectors.select(id_col, *keep, array_to_vector(width.cast("array<double>")).alias("features"))
     df = _probability(df, bundle.classifier, "probability")
     names = {gene: f"_p{i}" for i, gene in enumerate(bundle.gene_models)}
     for gene, model in bundle.gene_models.items():
@@ -70,10 +77,14 @@ def score_vectors(vectors: DataFrame, id_col: str, bundle: Bundle, keep: tuple[s
             likely, lambda s: F.struct(s["gene"].alias("gene"), (-s["minus"]).alias("probability"))
         ).alias("top_likely_genes"),
         F.concat(V.value_map(predicted, texts), note).alias("follow_up"),
+        F.lit(bundle.encoder).alias("model_used"),
     )
 
 
 def score_reports(reports: DataFrame, id_col: str, text: str, bundle: Bundle, encoder: EncoderFactory, batch_size: int = 64) -> DataFrame:
-    """New reports end to end: clean as in training, embed, score."""
+    """New reports end to end: clean as in training, embed, score. The encoder must be that of the bundle."""
+    name = encoder_name(encoder)
+    if name != bundle.encoder:
+        raise ValueError(f"the bundle was trained on vectors of {bundle.encoder}, not of {name}")
     cleaned = reports.select(id_col, X.clean_text(F.col(text)).alias("clean_text"))
     return score_vectors(embed(cleaned, id_col, "clean_text", encoder, batch_size), id_col, bundle)

@@ -6,8 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -17,11 +15,20 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # gene and variant sets are small, so many patients fit into one hash aggregation
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
 
+#: Into how many partitions the queries deal small input files; unset, files are read as they are split.
+SPREAD = "spark.cohortspark.inputPartitions"
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """The settings that results and skew handling rely on, for a session somebody else has made."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A one-machine session for tests and the bench; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("cohortspark")
@@ -30,6 +37,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
+        # one machine, files of one row group: without this a scan and all that follows it is one task
+        SPREAD: str(cores),
         **extra,
     }
     for key, value in settings.items():
@@ -71,16 +80,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, max_rows: int = 1000) -> DataFrame:
-    """Broadcast hint for a table that is small by contract, with the contract checked.
-
-    At most `max_rows + 1` rows reach the check, and one row too many fails the
-    query; nothing is dropped silently and nothing unbounded is broadcast.
-    """
-    everything = Window.partitionBy(F.lit(0))
-    checked = df.limit(max_rows + 1).withColumn("_rows", F.count(F.lit(1)).over(everything))
-    message = F.lit(f"more than {max_rows} rows in a table meant to be broadcast")
-    guard = F.when(F.col("_rows") > max_rows, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
-    return F.broadcast(checked.where(guard).drop("_rows"))

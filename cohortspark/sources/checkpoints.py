@@ -9,8 +9,10 @@ from pyspark.ml.classification import LogisticRegressionModel, RandomForestClass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "name string, kind string, gene string, path string, dim int"
-_LOADERS = {m.__name__: m for m in (LogisticRegressionModel, RandomForestClassificationModel)}
+from cohortspark.operators.huber import ModifiedHuberModel
+
+MANIFEST = "name string, kind string, gene string, path string, dim int, encoder string"
+_LOADERS = {m.__name__: m for m in (LogisticRegressionModel, RandomForestClassificationModel, ModifiedHuberModel)}
 
 
 def checkpoint(df: DataFrame, path: str) -> DataFrame:
@@ -40,23 +42,27 @@ def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame],
 
 @dataclass(frozen=True)
 class Bundle:
-    """What batch scoring needs: the classifier, the gene models and the vector width."""
+    """What batch scoring needs: the classifier, the gene models, and the vectors' width and encoder."""
 
     classifier: object
     gene_models: Mapping[str, object]
     dim: int
+    encoder: str
 
     def manifest_rows(self) -> list[tuple]:
-        rows = [("classifier", type(self.classifier).__name__, None, "classifier", self.dim)]
+        rows = [("classifier", type(self.classifier).__name__, None, "classifier", self.dim, self.encoder)]
         for gene, model in sorted(self.gene_models.items()):
-            rows.append((f"gene_{gene}", type(model).__name__, gene, f"genes/{gene}", self.dim))
+            rows.append((f"gene_{gene}", type(model).__name__, gene, f"genes/{gene}", self.dim, self.encoder))
         return rows
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """One directory per Spark ML model, and a manifest table written last."""
-        for name, _, gene, place, _ in self.manifest_rows():
+        """One directory per model, and a manifest table written last."""
+        for _, _, gene, place, _, _ in self.manifest_rows():
             model = self.classifier if gene is None else self.gene_models[gene]
-            model.write().overwrite().save(f"{path}/{place}")
+            if isinstance(model, ModifiedHuberModel):
+                model.save(spark, f"{path}/{place}")
+            else:
+                model.write().overwrite().save(f"{path}/{place}")
         spark.createDataFrame(self.manifest_rows(), MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
@@ -67,4 +73,4 @@ def bundle_manifest(spark: SparkSession, path: str) -> DataFrame:
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
     rows = bundle_manifest(spark, path).orderBy(F.col("gene").asc_nulls_first()).collect()  # one row per model
     models = {row.gene: _LOADERS[row.kind].load(f"{path}/{row.path}") for row in rows}
-    return Bundle(models.pop(None), models, rows[0].dim)
+    return Bundle(models.pop(None), models, rows[0].dim, rows[0].encoder)

@@ -12,6 +12,8 @@ from cohortspark import constants as C
 
 MUTATION_COLUMNS = ("Hugo_Symbol", "Tumor_Sample_Barcode", "Variant_Classification")
 REPORT_COLUMNS = ("patient_filename", "text")
+# a line up to the first "#" outside quotes, and the rest of it
+COMMENT = r'^((?:[^"#]++|"(?:[^"]++|"")*+")*+)#.*$'
 
 
 def normalize_na(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -27,14 +29,14 @@ def read_mutations(
 ) -> DataFrame:
     """Tab-separated rows with a header line and "#" comments; only `columns`, as nullable strings.
 
-    With `inline_comments` everything from "#" on is cut, wherever it stands. Spark's
+    With `inline_comments` everything from the first "#" outside quotes on is cut. Spark's
     own comment option drops only whole lines, so the lines are read as text and
     parsed by expression; the file stays splittable and unused columns unparsed.
     """
     if not inline_comments:
         raw = spark.read.csv(path, sep="\t", header=True, comment="#", escape='"')
         return normalize_na(raw.select(*columns))
-    lines = spark.read.text(path).select(F.regexp_replace("value", "#.*$", "").alias("line")).where("line <> ''")
+    lines = spark.read.text(path).select(F.regexp_replace("value", COMMENT, "$1").alias("line")).where("line <> ''")
     first = lines.head()
     if first is None:
         raise ValueError(f"no header line in {path}")
@@ -52,12 +54,13 @@ def read_mutations(
 def read_reports(spark: SparkSession, path: str, columns: Sequence[str] = REPORT_COLUMNS) -> DataFrame:
     """Comma-separated free text with quoted line breaks and doubled quotes, plus `row_order`.
 
-    `row_order` follows the order in the file, for operators that keep a first row.
-    A file with line breaks inside values cannot be split: store it as Parquet once
-    and go on from there.
+    `row_order` (file, place) follows the files by name and the order in each, whatever
+    files share a task, for operators that keep a first row. A file with line breaks inside
+    values cannot be split: many files are read side by side, and Parquet is the form to go on from.
     """
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    return normalize_na(raw.select(*columns)).withColumn("row_order", F.monotonically_increasing_id())
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    return normalize_na(raw.select(*columns, order.alias("row_order")), columns)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -35,7 +35,7 @@ def test_matches_sql(spark, duck, name):
     assert ordered([tuple(r) for r in df.collect()], df.columns) == ordered(cursor.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", ["train_logistic", "per_cohort_models", "score_reports", "word2vec_embeddings"])
+@pytest.mark.parametrize("name", ["train_logistic", "per_cohort_models", "score_reports"])
 def test_runs(spark, name):
     assert driver.queries()[name](spark, SMALL).count() > 0
 

@@ -62,17 +62,19 @@ def test_alignment_joins_one_row_per_patient(spark):
     assert join < text.index("collect_set")
 
 
-def test_split_does_not_shuffle_the_rows(spark):
+def test_split_joins_measured_cuts_by_broadcast(spark):
     df = W.table(spark, SMALL, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    text = plan(S.stratified_split(df, "o_orderkey", "o_orderstatus"))
-    scan = text[: text.index("BroadcastExchange")]
-    assert "o_orderpriority" in scan and "Exchange hashpartitioning" not in scan
+    split = S.stratified_split(df, "o_orderkey", "o_orderstatus")
+    split.collect()
+    final = plan(split).split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in final
 
 
 def test_tfidf_shuffles_terms_only(spark):
     docs = W.table(spark, SMALL, "documents").select("doc_id", F.lower("text").alias("t"))
     fitted = plan(TI.term_statistics(docs, "t"))
     assert re.findall(r"Exchange hashpartitioning\((\w+)#", fitted) == ["term"]
+    assert fitted.count("Generate inline") == 1
     weights = plan(TI.fit_tfidf(docs, "t").weights(docs, "doc_id", "t"))
     assert "Exchange" not in weights
 
@@ -115,3 +117,25 @@ def test_skewed_semi_join_is_split(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_ties_do_not_gather_scores_in_one_bucket(spark):
+    rows = spark.range(200_000).select(
+        F.when(F.col("id") % 100 != 0, 0.5).otherwise(F.col("id") / 200_000.0).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("label")
+    )
+    counts = M._bucketed_counts(rows, "label", "score", [], None)
+    sizes = [r["count"] for r in counts.groupBy("_bucket").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 4 * sum(sizes) / len(sizes)
+
+
+def test_thousands_of_classes(spark):
+    df = spark.range(9000).select("id", (F.col("id") % 3000).cast("string").alias("class"))
+    assert S.stratified_split(df, "id", "class").where("split = 'test'").count() == 3000
+    counted = A.class_distribution(df, "class", ["7", "absent"]).collect()
+    assert [(r["class"], r.n) for r in counted] == [("7", 3), ("absent", 0)]
+    assert A.with_balanced_weight(df, "class").count() == 9000
+
+
+def test_rows_without_a_class_are_dealt_into_folds_too(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else "a") for i in range(20)], "id long, class string")
+    assert S.stratified_folds(df, "id", "class", 5).count() == 20

@@ -2,7 +2,8 @@ import pytest
 
 from conftest import rows
 from cohortspark.plans.align import with_mutation_patient
-from cohortspark.session import shared_folder, small
+from cohortspark.operators import dedup as D
+from cohortspark.session import shared_folder
 from cohortspark.sources import checkpoints as K
 from cohortspark.sources import delimited as S
 
@@ -93,12 +94,6 @@ def test_materialize_rebuilds_only_what_is_missing(spark, tmp_path):
     assert len(calls) == 3
 
 
-def test_small_fails_rather_than_drops(spark):
-    assert spark.range(5).join(small(spark.range(5), 5), "id").count() == 5
-    with pytest.raises(Exception, match="more than 4 rows"):
-        spark.range(5).join(small(spark.range(5), 4), "id").count()
-
-
 def test_shared_folder_is_the_one_the_cluster_names(spark):
     class Conf:
         @staticmethod
@@ -121,3 +116,26 @@ def test_cluster_without_shared_folder_is_refused():
 
     with pytest.raises(ValueError):
         shared_folder(Session)
+
+
+def test_comments_end_lines_outside_quotes_only(spark, tmp_path):
+    path = tmp_path / "m.tsv"
+    path.write_text(
+        "#v1\nHugo_Symbol\tTumor_Sample_Barcode\tVariant_Classification\n"
+        '"K#R"\tTCGA-AA-0001-01A\tSilent\nTP53\t"TCGA-""x""#-1"\tSilent#cut\n'
+        + "EGFR\t" + "x" * 100_000 + "\tSilent # tail\n"
+    )
+    rows = S.read_mutations(spark, str(path)).collect()
+    assert [tuple(r) for r in rows] == [
+        ("K#R", "TCGA-AA-0001-01A", "Silent"),
+        ("TP53", 'TCGA-"x"#-1', "Silent"),
+        ("EGFR", "x" * 100_000, "Silent "),
+    ]
+
+
+def test_rows_of_several_report_files_follow_the_file_names(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("patient_filename,text\np1,first\np2,second\n")
+    (tmp_path / "b.csv").write_text("patient_filename,text\n" + "".join(f'p{i},"{"long " * 50}\n{i}"\n' for i in range(1, 60)))
+    reports = S.read_reports(spark, str(tmp_path))
+    kept = {r.patient_filename: r.text for r in D.dedup_first(reports, "patient_filename", "row_order").collect()}
+    assert kept["p1"] == "first" and kept["p2"] == "second" and len(kept) == 59

@@ -176,7 +176,7 @@ def bundle(spark):
     vectors = vectors.cache()
     model = T.fit_logistic(vectors)
     genes = {g: T.fit_logistic(vectors.withColumn("label", (F.col("id") % (i + 2) == 0).cast("int"))) for i, g in enumerate(C.TOP_GENES[:7])}
-    return K.Bundle(model, genes, 16)
+    return K.Bundle(model, genes, 16, "hashed-tokens-16")
 
 
 def test_bundle_roundtrip_and_scoring(spark, bundle, tmp_path):
