@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from cohortspark import constants as C
@@ -46,6 +46,35 @@ def train_logistic(spark, sf):
     return spark.createDataFrame(rows, "position int, coefficient double")
 
 
+@query(
+    "logistic_optimum",
+    with_views(
+        f"""WITH n AS (SELECT count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS q FROM v_vectors)
+        SELECT unnest(range(65))::INTEGER AS position, true AS optimal,
+          (p - ceil(p * {C.TEST_FRACTION}::DOUBLE))::BIGINT AS n_pos, (q - ceil(q * {C.TEST_FRACTION}::DOUBLE))::BIGINT AS n_neg FROM n"""
+    ),
+)
+def logistic_optimum(spark, sf):
+    """Whether the objective is flat along every coefficient and the intercept, computed from the rows apart from the trainer."""
+    train, _ = _sides(_split_vectors(spark, sf))
+    model = T.fit_logistic(train)
+    weights = F.array(*[F.lit(float(v)) for v in model.coefficients])
+    x, y = vector_to_array("features"), F.col("label").cast("double")
+    sizes = train.agg(F.sum("label").alias("n_pos"), F.sum(1 - F.col("label")).alias("n_neg"))
+    margin = F.aggregate(F.zip_with(x, weights, lambda a, b: a * b), F.lit(float(model.intercept)), lambda t, v: t + v)
+    share = F.when(y == 1, 0.5 / F.col("n_pos")).otherwise(0.5 / F.col("n_neg"))  # balanced, adding up to one
+    rows = train.crossJoin(F.broadcast(sizes)).select(
+        x.alias("x"), "n_pos", "n_neg", (share * (1 / (1 + F.exp(-margin)) - y)).alias("pull")
+    )
+    dim = len(model.coefficients)
+    slopes = [F.sum(F.col("pull") * F.col("x")[j]) for j in range(dim)] + [F.sum("pull")]
+    totals = rows.agg(F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"), F.array(*slopes).alias("slopes"))
+    penalty = F.array(*[F.lit(float(v)) for v in [*model.coefficients, 0.0]])  # over the number of rows, as c is 1
+    long = totals.select("n_pos", "n_neg", F.posexplode(F.arrays_zip("slopes", penalty.alias("penalty"))).alias("position", "at"))
+    flat = F.abs(F.col("at.slopes") + F.col("at.penalty") / (F.col("n_pos") + F.col("n_neg"))) < 1e-3
+    return long.select("position", flat.alias("optimal"), "n_pos", "n_neg")
+
+
 @query("train_forest")
 def train_forest(spark, sf):
     """Test scores of the forest on the vectors."""

@@ -117,12 +117,13 @@ def fit_modified_huber(
     alpha: float = 1e-4,
     l1_ratio: float = 0.15,
     max_iter: int = 1000,
-    tolerance: float = 1e-5,
+    tolerance: float = 1e-4,
 ) -> ModifiedHuberModel:
     """Minimise sum(w * loss) / sum(w) + alpha * (l1_ratio |b|_1 + (1 - l1_ratio) / 2 |b|^2).
 
     The intercept carries no penalty. Quasi-Newton steps on the driver, each a pass over the
-    rows; `converged` of the model tells whether the optimum was reached within `max_iter` passes.
+    rows, until five in a row lower the objective by less than `tolerance` or nothing is left to
+    descend. `converged` of the model tells whether that came within `max_iter` passes.
     `df` should be stored or cached.
     """
     spark = df.sparkSession
@@ -170,11 +171,15 @@ def fit_modified_huber(
     return ModifiedHuberModel(point[:d], float(point[d]), value, passes, converged)
 
 
+#: Passes in a row without progress that end a fit, and the length of a subgradient that counts as none.
+STALLED, FLAT = 5, 1e-5
+
+
 def minimise(loss_and_gradient, penalty: np.ndarray, max_passes: int, tolerance: float, memory: int = 10):
     """The point that minimises loss + penalty * |point|, by quasi-Newton steps kept inside an orthant.
 
-    Returns the point, its objective, the passes over the data, and whether the smallest
-    subgradient fell below the tolerance.
+    Returns the point, its objective, the passes over the data, and whether the steps came to
+    an end: a flat subgradient, or `STALLED` steps in a row that gained less than the tolerance.
     """
 
     def steepest(point: np.ndarray, gradient: np.ndarray) -> np.ndarray:
@@ -184,10 +189,10 @@ def minimise(loss_and_gradient, penalty: np.ndarray, max_passes: int, tolerance:
 
     point = np.zeros(len(penalty))
     loss, gradient = loss_and_gradient(point)
-    objective, passes, steps = loss + penalty @ np.abs(point), 1, []
+    objective, passes, steps, stalled = loss + penalty @ np.abs(point), 1, [], 0
     while True:
         slope = steepest(point, gradient)
-        if np.linalg.norm(slope) <= tolerance * max(1.0, np.linalg.norm(point)):
+        if stalled >= STALLED or np.linalg.norm(slope) <= FLAT * max(1.0, np.linalg.norm(point)):
             return point, objective, passes, True
         direction, held = slope.copy(), []
         for s, y in reversed(steps):
@@ -216,4 +221,5 @@ def minimise(loss_and_gradient, penalty: np.ndarray, max_passes: int, tolerance:
         s, y = moved - point, new_gradient - gradient
         if s @ y > 1e-12 * (y @ y):
             steps = [*steps[-memory + 1 :], (s, y)]
+        stalled = stalled + 1 if objective - new_objective < tolerance else 0
         point, gradient, objective = moved, new_gradient, new_objective
