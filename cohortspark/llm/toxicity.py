@@ -37,7 +37,7 @@ MIN_STEM_DOCUMENTS = 8
 #: Shortest terms that may be written with one and with two errors.
 ONE_ERROR, TWO_ERRORS = 5, 9
 #: Terms of less log odds than this count only as they are written.
-MISSPELLED_LOG_ODDS = 4.0
+MISSPELLED_LOG_ODDS = 5.0
 WINDOW = 8
 #: Words whose match a worker keeps at once; more only means that a word is matched again.
 CACHE = 1_000_000
@@ -62,59 +62,86 @@ def allowed(term: str) -> int:
     return 0 if len(term) < ONE_ERROR else 1 if len(term) < TWO_ERRORS else 2
 
 
+def build_trie(terms: list[str]) -> dict:
+    root: dict = {}
+    for term in terms:
+        node = root
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = term
+    return root
+
+
+def nearest(root: dict, word: str, errors: int) -> tuple[int, str] | None:
+    """The word's Levenshtein automaton run along a trie: (edits, term) of the nearest term, ties by term.
+
+    A state holds the edits between what was read of the trie and every beginning of the word; more
+    than `errors` places off the diagonal they exceed `errors`, so only that band is kept up.
+    """
+    size, over = len(word), errors + 1
+    best: tuple[int, str] | None = None
+    stack = [(root, 0, [min(i, over) for i in range(size + 1)])]
+    while stack:
+        node, depth, row = stack.pop()
+        first, last = max(1, depth + 1 - errors), min(size, depth + 1 + errors)
+        for c, child in node.items():
+            if c == "":
+                if row[size] <= allowed(child) and (best is None or (row[size], child) < best):
+                    best = (row[size], child)
+                continue
+            after = [over] * (size + 1)
+            after[0] = least = min(depth + 1, over)
+            for i in range(first, last + 1):
+                edits = row[i - 1] + (word[i - 1] != c)
+                if row[i] + 1 < edits:
+                    edits = row[i] + 1
+                if after[i - 1] + 1 < edits:
+                    edits = after[i - 1] + 1
+                after[i] = edits
+                if edits < least:
+                    least = edits
+            if least <= errors:
+                stack.append((child, depth + 1, after))
+    return best
+
+
 class Trie:
-    """Terms and beginnings, with their weights."""
+    """Terms and beginnings with their weights, and the terms that may be misspelled as tries by their pieces.
+
+    A term that allows e errors is cut into e + 1 pieces, of which any misspelling leaves one alone. So
+    the automaton only runs along the small tries of the terms that share a piece with the word.
+    """
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
         self.terms, self.stems = terms, stems
-        self.root: dict = {}
-        terms = {t: w for t, w in terms.items() if w >= MISSPELLED_LOG_ODDS}
-        for term in terms:
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = term
-        # e errors leave one of a term's e + 1 pieces alone: a cheap test before the automaton runs
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
-        self.middles: set[str] = set()
-        for term in terms:
+        heads, tails, middles = {}, {}, {}
+        loose = [t for t, w in terms.items() if w >= MISSPELLED_LOG_ODDS and allowed(t)]
+        for term in loose:
             pieces = allowed(term) + 1
-            if pieces > 1:
-                cut = [len(term) * k // pieces for k in range(pieces + 1)]
-                self.heads.setdefault(cut[1], set()).add(term[: cut[1]])
-                self.tails.setdefault(len(term) - cut[-2], set()).add(term[cut[-2] :])
-                self.middles |= {term[a:b] for a, b in zip(cut[1:-2], cut[2:-1])}
-        self.shortest = min((len(t) - allowed(t) for t in terms if allowed(t)), default=1 << 30)
-        self.longest = max((len(t) + allowed(t) for t in terms), default=0)
-
-    def _hopeful(self, word: str) -> bool:
-        return (
-            any(word[:n] in heads for n, heads in self.heads.items())
-            or any(word[-n:] in tails for n, tails in self.tails.items())
-            or (len(word) >= TWO_ERRORS - 2 and any(m in word for m in self.middles))
+            cut = [len(term) * k // pieces for k in range(pieces + 1)]
+            heads.setdefault(term[: cut[1]], []).append(term)
+            tails.setdefault(term[cut[-2] :], []).append(term)
+            for a, b in zip(cut[1:-2], cut[2:-1]):
+                middles.setdefault(term[a:b], []).append(term)
+        self.heads, self.tails, self.middles = (
+            {piece: build_trie(of) for piece, of in by.items()} for by in (heads, tails, middles)
+        )
+        self.head_sizes, self.tail_sizes, self.middle_sizes = (
+            sorted({len(piece) for piece in by}) for by in (heads, tails, middles)
         )
+        self.shortest = min((len(t) - allowed(t) for t in loose), default=1 << 30)
+        self.longest = max((len(t) + allowed(t) for t in loose), default=0)
 
     def near(self, word: str) -> tuple[str, int] | None:
-        """The term nearest to the word within its allowed edits, ties by term: the word's automaton along the trie."""
-        errors = 2 if len(word) >= TWO_ERRORS - 2 else 1
-        best: tuple[int, str] | None = None
-        stack = [(self.root, tuple(range(len(word) + 1)))]
-        while stack:
-            node, row = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if row[-1] <= allowed(child) and (best is None or (row[-1], child) < best):
-                        best = (row[-1], child)
-                    continue
-                # the automaton's next state: edits between each beginning of the word and the path so far
-                after, last = [row[0] + 1], row[0] + 1
-                for i, w in enumerate(word):
-                    last = min(row[i] + (w != c), row[i + 1] + 1, last + 1)
-                    after.append(last)
-                if min(after) <= errors:
-                    stack.append((child, tuple(after)))
-        return (best[1], best[0]) if best else None
+        """The term nearest to the word within the term's allowed edits, ties by term."""
+        size, errors = len(word), 2 if len(word) >= TWO_ERRORS - 2 else 1
+        roots = [self.heads[word[:n]] for n in self.head_sizes if word[:n] in self.heads]
+        roots += [self.tails[word[-n:]] for n in self.tail_sizes if word[-n:] in self.tails]
+        if errors == 2:
+            inside = {word[i : i + n] for n in self.middle_sizes for i in range(1, size - n)}
+            roots += [self.middles[piece] for piece in sorted(inside) if piece in self.middles]
+        found = [best for root in roots if (best := nearest(root, word, errors)) is not None]
+        return (min(found)[1], min(found)[0]) if found else None
 
     def match(self, word: str) -> tuple[str, float] | None:
         """How a word hits the lexicon, and with what weight."""
@@ -123,7 +150,7 @@ class Trie:
         for n in STEMS:
             if word[:n] in self.stems:
                 return "stem", self.stems[word[:n]]
-        if not self.shortest <= len(word) <= self.longest or not self._hopeful(word):
+        if not self.shortest <= len(word) <= self.longest:
             return None
         found = self.near(word)
         return ("misspelled", self.terms[found[0]] / (1 + found[1])) if found else None
