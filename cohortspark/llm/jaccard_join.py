@@ -9,9 +9,10 @@ for its size band must agree in at least one part (pigeonhole), which is an equa
 Exactness: parts that hold at most one shingle are joined on only by documents that have at least as
 many of them as a linked pair may share parts, so no link is lost by leaving them out elsewhere. In
 small bands several equal parts are demanded at once. What agrees in a part becomes a candidate
-component; inside it, in blocks of bounded size, pairs are compared by length, by the Hamming
-distance of bit sketches, and then by the exact sets. Only a spanning forest of verified links leaves
-a task, so a group of copies never turns into all its pairs.
+component. Inside it, in blocks of bounded size, pairs are first compared by length and by the Hamming
+distance of bit sketches, a small part of the sets' bytes; what passes makes finer components, and inside
+these the exact sets are compared. Only a spanning forest leaves a task each time, so a group of copies
+never turns into all its pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from cohortspark.llm.shingles import mix, shingle_set
 #: Shingles, and sets, that one block of a comparison holds at most (a larger set is a block by itself).
 BLOCK_SHINGLES = 500_000
 BLOCK_SETS = 1024
+#: How many times as much a block of sketches holds.
+SKETCHES_PER_SET = 8
 #: Equal parts demanded at once, by the largest symmetric difference of a band; one beyond these.
 _TOGETHER = {1: 7, 2: 4, 3: 3, 4: 2, 5: 2, 6: 2}
 
@@ -129,25 +132,78 @@ def _keys(words: int, threshold: Threshold):
     return run
 
 
-def _sets(words: int):
+def _payload(words: int, threshold: Threshold, exact: bool):
+    """The sets of texts, or the bit sketches of their sets, as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words).tobytes() for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            payload = [s.tobytes() if exact else bit_sketch(s, threshold).tobytes() for s in sets]
             kept = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in kept), pa.array(sets, pa.binary())], [*kept, "shingles"]
+                [
+                    *(batch.column(n) for n in kept),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(payload, pa.binary()),
+                ],
+                [*kept, "size", "payload"],
             )
 
     return run
 
 
-def bit_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """Parity of the number of shingles at each of `bits` positions, as rows of 64-bit words."""
-    rows = np.empty((len(sets), bits // 64), dtype=np.uint64)
-    for i, s in enumerate(sets):
-        odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-        rows[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
-    return rows
+def bit_sketch(hashes: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """Parity of the number of shingles at each position, packed; four positions and more per allowed difference.
+
+    Halves XORed give the sketch of half the positions, so sketches of different lengths can be compared.
+    """
+    bits = min(1 << 16, max(256, 1 << int(4 * threshold.difference(2 * len(hashes))).bit_length()))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def _folded(sketches: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For every length of sketch: the rows that are as long or longer, and their sketches of that length."""
+    lengths = np.array([len(s) for s in sketches])
+    out = {}
+    for length in sorted(set(lengths.tolist())):
+        rows = np.flatnonzero(lengths >= length)
+        matrix = np.empty((len(rows), length // 8), dtype=np.uint64)
+        for k, row in enumerate(rows.tolist()):
+            sketch = sketches[row]
+            matrix[k] = np.bitwise_xor.reduce(sketch.reshape(-1, length), axis=0).view(np.uint64)
+        out[length] = rows, matrix
+    return out
+
+
+def near_forest(
+    sizes: np.ndarray, sketches: list[np.ndarray], threshold: Threshold, left: int | None = None
+) -> list[tuple[int, int]]:
+    """Edges that span the components of the graph of pairs whose lengths and sketches allow a link.
+
+    Sizes rise, on either side of `left` for itself; with `left`, only pairs across it are compared.
+    """
+    n, levels = len(sizes), _folded(sketches)
+    lengths = [len(s) for s in sketches]
+    root, edges = np.arange(n), []
+    for i in range(n if left is None else left):
+        rows, matrix = levels[lengths[i]]
+        start = np.searchsorted(rows, i + 1 if left is None else left)
+        rows = rows[start:]
+        stop = np.searchsorted(sizes[rows], sizes[i] * threshold.q // threshold.p, side="right")
+        rows, sketch = rows[:stop], matrix[start : start + stop]
+        open_ = root[rows] != root[i]
+        rows, sketch = rows[open_], sketch[open_]
+        if not len(rows):
+            continue
+        own = np.bitwise_xor.reduce(sketches[i].reshape(-1, lengths[i]), axis=0).view(np.uint64)
+        allowed = (threshold.q - threshold.p) * (sizes[rows] + sizes[i]) // (threshold.q + threshold.p)
+        near = np.bitwise_count(sketch ^ own).sum(axis=1, dtype=np.int64) <= allowed
+        for j in rows[near].tolist():
+            if root[i] != root[j]:
+                edges.append((i, j))
+                root[root == root[j]] = root[i]
+    return edges
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -167,21 +223,18 @@ def linked_forest(
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    widest = threshold.difference(2 * int(sizes.max(initial=1)))
-    sketches = bit_sketches(sets, min(1 << 14, max(256, 1 << int(4 * widest).bit_length())))
-    root = np.arange(n)
-
-    edges = []
+    levels = _folded([bit_sketch(s, threshold) for s in sets])
+    rows, matrix = levels[min(levels)] if levels else (None, None)  # the shortest sketch, of all sets
+    root, edges = np.arange(n), []
     for i in range(n if left is None else left):
-        first = i + 1 if left is None else left
-        others = np.arange(first, n)
+        others = np.arange(i + 1 if left is None else left, n)
         total = sizes[others] + sizes[i]
         allowed = (threshold.q - threshold.p) * total // (threshold.q + threshold.p)
         near = (np.abs(sizes[others] - sizes[i]) <= allowed) & (root[others] != root[i])
         others, total, allowed = others[near], total[near], allowed[near]
         if not len(others):
             continue
-        near = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64) <= allowed
+        near = np.bitwise_count(matrix[others] ^ matrix[i]).sum(axis=1, dtype=np.int64) <= allowed
         for j, both in zip(others[near].tolist(), total[near].tolist()):
             if root[i] != root[j]:
                 shared = common(sets[i], sets[j])
@@ -191,29 +244,35 @@ def linked_forest(
     return edges
 
 
-def _verify(threshold: Threshold, id_type):
+def _verify(threshold: Threshold, exact: bool, id_type):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, rows in group.groupby("comp", sort=False):
-            rows = rows.sort_values(["side", "id"])
-            sets = [np.frombuffer(b, dtype=np.uint64) for b in rows["shingles"]]
+            rows = rows.sort_values(["side", "size", "id"])
+            payload = [np.frombuffer(b, dtype=np.uint64 if exact else np.uint8) for b in rows["payload"]]
             ids, left = rows["id"].tolist(), int((rows["side"] == 0).sum())
             crossing = left if left < len(ids) else None
-            out += [(ids[a], ids[b]) for a, b in linked_forest(sets, threshold, crossing)]
+            if exact:
+                found = linked_forest(payload, threshold, crossing)
+            else:
+                found = near_forest(rows["size"].to_numpy(), payload, threshold, crossing)
+            out += [(ids[a], ids[b]) for a, b in found]
         return pd.DataFrame(out, columns=["a", "b"]).astype(id_type)
 
     return run
 
 
-def _links(docs: DataFrame, candidates: DataFrame, words: int, threshold: Threshold) -> DataFrame:
-    """Verified links (a, b) inside the candidate components, a spanning forest for each block or pair of blocks.
+def _links(docs: DataFrame, candidates: DataFrame, words: int, threshold: Threshold, exact: bool) -> DataFrame:
+    """Links (a, b) inside the candidate components, a spanning forest for each block or pair of blocks.
 
-    `candidates` has id, comp, n. Blocks go by size, so blocks whose sizes cannot link never meet.
+    `candidates` has id, comp, n. Blocks go by size, so blocks whose sizes cannot link never meet. With
+    `exact` the links are verified on the sets, otherwise they are what the bit sketches allow.
     """
+    scale = 1 if exact else SKETCHES_PER_SET
     order = Window.partitionBy("comp").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.sum("n").over(order) - F.col("n")
     place = F.greatest(
-        F.floor(before / BLOCK_SHINGLES), F.floor((F.row_number().over(Window.partitionBy("comp").orderBy("n", "id")) - 1) / BLOCK_SETS)
+        F.floor(before / (scale * BLOCK_SHINGLES)), F.floor((F.row_number().over(Window.partitionBy("comp").orderBy("n", "id")) - 1) / (scale * BLOCK_SETS))
     )
     members = stored(candidates.select("id", "comp", "n", place.cast("long").alias("block")), "members")
     blocks = members.groupBy("comp", "block").agg(
@@ -242,7 +301,7 @@ def _links(docs: DataFrame, candidates: DataFrame, words: int, threshold: Thresh
     # small components share a task: as many bins as their sets fill blocks
     alone = blocks.groupBy("comp").agg(F.count(F.lit(1)).alias("blocks"), F.sum("weight").alias("weight"))
     total = alone.where("blocks = 1").agg(F.sum("weight").alias("w")).first()["w"] or 0
-    bins = max(1, int(total) // BLOCK_SHINGLES)
+    bins = max(1, int(total) // (scale * BLOCK_SHINGLES))
     single = alone.where("blocks = 1").select("comp", F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("bin"))
     pairs = pairs.join(single, "comp", "left").withColumn(
         "task",
@@ -251,13 +310,13 @@ def _links(docs: DataFrame, candidates: DataFrame, words: int, threshold: Thresh
         ),
     )
 
+    kind = docs.schema["id"].dataType.simpleString()
     texts = docs.join(members.select("id", "comp", "block"), "id").mapInArrow(
-        _sets(words), f"id {docs.schema['id'].dataType.simpleString()}, comp {docs.schema['id'].dataType.simpleString()}, block long, shingles binary"
+        _payload(words, threshold, exact), f"id {kind}, comp {kind}, block long, size long, payload binary"
     )
-    kind = docs.schema["id"].dataType.simpleString()
-    dealt = texts.join(pairs, ["comp", "block"]).select("task", "comp", "side", "id", "shingles")
+    dealt = texts.join(pairs, ["comp", "block"]).select("task", "comp", "side", "id", "size", "payload")
     return dealt.groupBy("task").applyInPandas(
-        _verify(threshold, "int64" if kind in ("bigint", "int") else "object"), f"a {kind}, b {kind}"
+        _verify(threshold, exact, "int64" if kind in ("bigint", "int") else "object"), f"a {kind}, b {kind}"
     )
 
 
@@ -283,11 +342,14 @@ def jaccard_classes(
     keys = rep_texts.mapInArrow(_keys(words, threshold), f"key long, id {kind}")
     hub = F.min("id").over(Window.partitionBy("key"))
     stars = keys.withColumn("hub", hub).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    candidates = stored(connected_components(stars, "candidates"), "candidates")
-    sized = candidates.select("id", F.col("component").alias("comp")).join(
-        reps.groupBy("rep").agg(F.max("n").alias("n")).select(F.col("rep").alias("id"), "n"), "id"
-    )
-    links = _links(rep_texts, sized, words, threshold)
+    sizes = reps.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
+
+    def sized(edges: DataFrame, name: str) -> DataFrame:
+        found = stored(connected_components(edges, name), name)
+        return found.select("id", F.col("component").alias("comp")).join(sizes, "id")
+
+    near = _links(rep_texts, sized(stars, "candidates"), words, threshold, exact=False)
+    links = _links(rep_texts, sized(near, "near"), words, threshold, exact=True)
 
     repeated = filled.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 AND id IS NOT NULL")
     same_id = filled.join(repeated.select("id"), "id").join(reps, sets).select(F.col("id").alias("a"), F.col("rep").alias("b"))

@@ -276,3 +276,23 @@ def test_repeated_and_missing_vector_ids(spark):
     table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
     found = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in rp_forest.embedding_classes(table).collect()))
     assert found == [(0, 0, 0, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(7)
+    for p, q in ((90, 100), (8, 10)):
+        t = Threshold(p, q)
+        for n in (5, 40, 300, 3000):
+            base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in range(0, n // 8, max(1, n // 30))]
+            sets.sort(key=len)
+            sizes = np.array([len(s) for s in sets])
+            sketches = [jaccard_join.bit_sketch(s, t) for s in sets]
+            for i in range(len(sets)):
+                for j in range(i + 1, len(sets)):
+                    shared = common(sets[i], sets[j])
+                    linked = q * shared >= p * (len(sets[i]) + len(sets[j]) - shared)
+                    pair = np.array([i, j])
+                    passing = jaccard_join.near_forest(sizes[pair], [sketches[i], sketches[j]], t)
+                    assert passing or not linked
+                    assert passing == jaccard_join.near_forest(sizes[pair], [sketches[i], sketches[j]], t, left=1)
