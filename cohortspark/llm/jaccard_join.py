@@ -102,7 +102,7 @@ def set_keys(hashes: np.ndarray, threshold: Threshold) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _summaries(words: int):
+def _summaries(words: int, threshold: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -110,11 +110,11 @@ def _summaries(words: int):
                 h = shingle_set(text, words)
                 first = np.bitwise_xor.reduce(mix(h)) if len(h) else np.uint64(0)
                 second = (mix(h ^ np.uint64(0x5851F42D4C957F2D))).sum(dtype=np.uint64)
-                rows.append((len(h), first.astype(np.int64), second.astype(np.int64)))
-            sizes, first, second = (np.array(c, dtype=np.int64) for c in zip(*rows)) if rows else ([], [], [])
+                rows.append((len(h), int(first.astype(np.int64)), int(second.astype(np.int64)), bit_sketch(h, threshold).tobytes()))
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())],
-                ["id", "n", "s1", "s2"],
+                [batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", "n", "s1", "s2", "sketch"]
             )
 
     return run
@@ -132,19 +132,18 @@ def _keys(words: int, threshold: Threshold):
     return run
 
 
-def _payload(words: int, threshold: Threshold, exact: bool):
-    """The sets of texts, or the bit sketches of their sets, as bytes."""
+def _sets(words: int):
+    """The sets of texts as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-            payload = [s.tobytes() if exact else bit_sketch(s, threshold).tobytes() for s in sets]
             kept = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(n) for n in kept),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(payload, pa.binary()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
                 [*kept, "size", "payload"],
             )
@@ -262,12 +261,14 @@ def _verify(threshold: Threshold, exact: bool, id_type):
     return run
 
 
-def _links(docs: DataFrame, candidates: DataFrame, words: int, threshold: Threshold, exact: bool) -> DataFrame:
+def _links(docs: DataFrame, candidates: DataFrame, threshold: Threshold, words: int | None = None) -> DataFrame:
     """Links (a, b) inside the candidate components, a spanning forest for each block or pair of blocks.
 
     `candidates` has id, comp, n. Blocks go by size, so blocks whose sizes cannot link never meet. With
-    `exact` the links are verified on the sets, otherwise they are what the bit sketches allow.
+    `words` the links are verified on the sets of the texts of `docs` (id, text); without, they are what
+    its bit sketches (id, n, sketch) allow.
     """
+    exact = words is not None
     scale = 1 if exact else SKETCHES_PER_SET
     order = Window.partitionBy("comp").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.sum("n").over(order) - F.col("n")
@@ -311,10 +312,13 @@ def _links(docs: DataFrame, candidates: DataFrame, words: int, threshold: Thresh
     )
 
     kind = docs.schema["id"].dataType.simpleString()
-    texts = docs.join(members.select("id", "comp", "block"), "id").mapInArrow(
-        _payload(words, threshold, exact), f"id {kind}, comp {kind}, block long, size long, payload binary"
-    )
-    dealt = texts.join(pairs, ["comp", "block"]).select("task", "comp", "side", "id", "size", "payload")
+    placed = docs.join(members.select("id", "comp", "block"), "id")
+    if exact:
+        schema = f"id {kind}, comp {kind}, block long, size long, payload binary"
+        placed = placed.select("id", "comp", "block", "text").mapInArrow(_sets(words), schema)
+    else:
+        placed = placed.select("id", "comp", "block", F.col("n").alias("size"), F.col("sketch").alias("payload"))
+    dealt = placed.join(pairs, ["comp", "block"]).select("task", "comp", "side", "id", "size", "payload")
     return dealt.groupBy("task").applyInPandas(
         _verify(threshold, exact, "int64" if kind in ("bigint", "int") else "object"), f"a {kind}, b {kind}"
     )
@@ -333,7 +337,7 @@ def jaccard_classes(
     threshold = Threshold(p, q)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    summary = stored(rows.mapInArrow(_summaries(words), f"id {kind}, n long, s1 long, s2 long"), "summary")
+    summary = stored(rows.mapInArrow(_summaries(words, threshold), f"id {kind}, n long, s1 long, s2 long, sketch binary"), "summary")
     sets = ["n", "s1", "s2"]
     filled = summary.where("n > 0")
     reps = filled.groupBy(*sets).agg(F.min("id").alias("rep")).where("rep IS NOT NULL")
@@ -348,8 +352,8 @@ def jaccard_classes(
         found = stored(connected_components(edges, name), name)
         return found.select("id", F.col("component").alias("comp")).join(sizes, "id")
 
-    near = _links(rep_texts, sized(stars, "candidates"), words, threshold, exact=False)
-    links = _links(rep_texts, sized(near, "near"), words, threshold, exact=True)
+    near = _links(filled.select("id", "n", "sketch"), sized(stars, "candidates"), threshold)
+    links = _links(rows.where("text IS NOT NULL"), sized(near, "near"), threshold, words)
 
     repeated = filled.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 AND id IS NOT NULL")
     same_id = filled.join(repeated.select("id"), "id").join(reps, sets).select(F.col("id").alias("a"), F.col("rep").alias("b"))
