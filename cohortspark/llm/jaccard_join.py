@@ -6,10 +6,11 @@ number of unequal parts is a lower bound of the symmetric difference. For sizes
 of p/q allows a symmetric difference of (q-p)(a+b)/(q+p) at most; a sketch with more parts than that
 for its size band must agree in at least one part (pigeonhole), which is an equality join.
 
-Exactness: parts that hold at most one shingle are joined on only by documents that have at least as
-many of them as a linked pair may share parts, so no link is lost by leaving them out elsewhere. In
-small bands several equal parts are demanded at once. What agrees in a part becomes a candidate
-component. Inside it, in blocks of bounded size, pairs are first compared by length and by the Hamming
+Exactness: a sketch has more parts than that by several, so a linked pair agrees in several parts. Of the
+parts they agree in, the one that the fewest documents share comes first when each orders its own by that
+number, so every document may leave out as many of its most frequent parts as the pair must agree in beyond
+one. These are the parts filled by passages that many documents share, and the empty ones. In small bands
+several equal parts are demanded at once instead. What agrees in a part becomes a candidate component. Inside it, in blocks of bounded size, pairs are first compared by length and by the Hamming
 distance of bit sketches, a small part of the sets' bytes; what passes makes finer components, and inside
 these the exact sets are compared. Only a spanning forest leaves a task each time, so a group of copies
 never turns into all its pairs.
@@ -63,7 +64,13 @@ def band_parts(difference: int) -> tuple[int, int]:
     """Parts of a band's sketch, and how many of them are joined on at once."""
     if difference in _TOGETHER:
         return difference + _TOGETHER[difference], _TOGETHER[difference]
-    return difference + max(2, -(-difference // 4)), 1
+    return difference + max(3, -(-difference // 4)), 1
+
+
+def band_spare(difference: int) -> int:
+    """How many of its most frequent parts a set may leave out of the join: one less than a linked pair agrees in."""
+    parts, together = band_parts(difference)
+    return parts - difference - 1 if together == 1 else 0
 
 
 def band_keys(hashes: np.ndarray, band: int, difference: int) -> np.ndarray:
@@ -77,9 +84,7 @@ def band_keys(hashes: np.ndarray, band: int, difference: int) -> np.ndarray:
     filled = np.flatnonzero(counts)
     sketch[filled] = np.bitwise_xor.reduceat(zobrist, np.concatenate(([0], np.cumsum(counts[filled])[:-1])))
     if together == 1:
-        weak = counts <= 1
-        chosen = np.arange(parts) if weak.sum() >= parts - difference else np.flatnonzero(~weak)
-        values = sketch[chosen]
+        chosen, values = np.arange(parts), sketch
     else:
         picks = np.array(list(combinations(range(parts), together)))
         chosen, values = np.arange(len(picks)), np.zeros(len(picks), dtype=np.uint64)
@@ -88,18 +93,25 @@ def band_keys(hashes: np.ndarray, band: int, difference: int) -> np.ndarray:
     return mix(values + mix(chosen.astype(np.uint64) + np.uint64(band << 32)))
 
 
-def set_keys(hashes: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """All join keys of a set: those of its own band, and those of the next, where it is the smaller one."""
+def keys_by_band(hashes: np.ndarray, threshold: Threshold) -> list[tuple[int, int, np.ndarray]]:
+    """(band, spare, join keys) of a set for its own band, and for the next, where it is the smaller one."""
     n = len(hashes)
+    if not n:
+        return []
     ends = threshold.bands(n)
     own = int(np.searchsorted(ends, n, side="right")) - 1
     ends.append(ends[-1] * threshold.q // threshold.p + 1)
-    out = [np.zeros(0, np.uint64)]
+    out = []
     for band in (own, own + 1):
         difference = threshold.difference(2 * (ends[band + 1] - 1))
         if difference:  # without any difference only equal sets link, and those are one set already
-            out.append(band_keys(hashes, band, difference))
-    return np.unique(np.concatenate(out))
+            out.append((band, band_spare(difference), np.unique(band_keys(hashes, band, difference))))
+    return out
+
+
+def set_keys(hashes: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """All join keys of a set."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(keys for _, _, keys in keys_by_band(hashes, threshold))]))
 
 
 def _summaries(words: int, threshold: Threshold):
@@ -124,14 +136,33 @@ def _keys(words: int, threshold: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                keys = set_keys(shingle_set(batch.column("text")[at].as_py(), words), threshold)
-                if len(keys):
-                    ids = batch.column("id").take(pa.array(np.full(len(keys), at)))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), ids], ["key", "id"])
+                # several texts of one id have no order of parts in common, so none of them leaves out any
+                repeated = batch.column("repeated")[at].as_py()
+                for band, spare, keys in keys_by_band(shingle_set(batch.column("text")[at].as_py(), words), threshold):
+                    n = len(keys)
+                    ids = batch.column("id").take(pa.array(np.full(n, at)))
+                    columns = [np.full(n, band, np.int16), np.full(n, 0 if repeated else spare, np.int32)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys.view(np.int64)), ids, *map(pa.array, columns)], ["key", "id", "band", "spare"]
+                    )
 
     return run
 
 
+def _candidate_links(keys: DataFrame) -> DataFrame:
+    """(a, b) that tie documents with an equal key, each without its `spare` most frequent keys of a band.
+
+    Frequencies and least ids are aggregated before they are shuffled, and a frequent key only meets its one
+    row of them, in a join that adaptive execution can split; no key gathers its documents in one task.
+    """
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    rank = F.row_number().over(Window.partitionBy("id", "band").orderBy(F.desc("docs"), "key"))
+    kept = keys.join(shared, "key").withColumn("rank", rank).where("rank > spare").select("key", "id").distinct()
+    kept = stored(kept, "keys")
+    hubs = kept.groupBy("key").agg(F.min("id").alias("hub"))
+    return kept.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+
+
 def _sets(words: int):
     """The sets of texts as bytes."""
 
@@ -270,12 +301,15 @@ def _links(docs: DataFrame, candidates: DataFrame, threshold: Threshold, words:
     """
     exact = words is not None
     scale = 1 if exact else SKETCHES_PER_SET
-    order = Window.partitionBy("comp").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.sum("n").over(order) - F.col("n")
-    place = F.greatest(
-        F.floor(before / (scale * BLOCK_SHINGLES)), F.floor((F.row_number().over(Window.partitionBy("comp").orderBy("n", "id")) - 1) / (scale * BLOCK_SETS))
+    # a block is a size class of a component and, of a large class, a share by the hash of the id
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(threshold.q / threshold.p))).cast("long")
+    classed = candidates.select("id", "comp", "n", size_class.alias("class"))
+    shares = F.greatest(
+        F.ceil(F.sum("n") / (scale * BLOCK_SHINGLES)), F.ceil(F.count(F.lit(1)) / (scale * BLOCK_SETS)), F.lit(1)
     )
-    members = stored(candidates.select("id", "comp", "n", place.cast("long").alias("block")), "members")
+    classes = classed.groupBy("comp", "class").agg(shares.cast("long").alias("shares"))
+    block = F.shiftleft("class", 32) + F.pmod(F.xxhash64("id"), F.col("shares"))
+    members = stored(classed.join(classes, ["comp", "class"]).select("id", "comp", "n", block.alias("block")), "members")
     blocks = members.groupBy("comp", "block").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("weight")
     )
@@ -342,10 +376,11 @@ def jaccard_classes(
     filled = summary.where("n > 0")
     reps = filled.groupBy(*sets).agg(F.min("id").alias("rep")).where("rep IS NOT NULL")
 
-    rep_texts = rows.where("text IS NOT NULL").join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    keys = rep_texts.mapInArrow(_keys(words, threshold), f"key long, id {kind}")
-    hub = F.min("id").over(Window.partitionBy("key"))
-    stars = keys.withColumn("hub", hub).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    texts_of = filled.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    texts_of = texts_of.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    rep_texts = rows.where("text IS NOT NULL").join(texts_of, "id")
+    keys = rep_texts.mapInArrow(_keys(words, threshold), f"key long, id {kind}, band short, spare int")
+    stars = _candidate_links(keys)
     sizes = reps.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
 
     def sized(edges: DataFrame, name: str) -> DataFrame:

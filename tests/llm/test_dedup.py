@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm import exact_dedup, jaccard_join, rp_forest
 from cohortspark.llm.graph import connected_components
-from cohortspark.llm.jaccard_join import Threshold, band_keys, band_parts, common, linked_forest, set_keys
+from cohortspark.llm.jaccard_join import Threshold, band_keys, band_parts, common, keys_by_band, linked_forest, set_keys
 from cohortspark.llm.shingles import shingle_set, word_hashes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -119,6 +119,33 @@ def test_linked_sets_always_share_a_key(p, q):
                 assert len(np.intersect1d(set_keys(a, threshold), set_keys(b, threshold)))
 
 
+@pytest.mark.parametrize("p, q", [(90, 100), (8, 10)])
+def test_linked_sets_share_a_key_that_neither_leaves_out(p, q):
+    rng = np.random.default_rng(p + 1)
+    threshold = Threshold(p, q)
+    passage = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    met = 0
+    for n in [*range(20, 90, 3), 200, 700]:
+        for _ in range(6):
+            base = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64), passage[: n // 2]]))
+            lost = int(rng.integers(0, n * (q - p) // (q + p) + 1))
+            a, b = base, np.unique(np.concatenate([base[lost:], rng.integers(0, 1 << 63, lost // 2, dtype=np.uint64)]))
+            shared = common(a, b)
+            if q * shared < p * (len(a) + len(b) - shared) or len(a) + len(b) == 2 * shared:
+                continue
+            # any order will do; here the keys of a third of all documents are as frequent as can be
+            frequent = {k: int(k % 3 == 0) for s in (a, b) for _, _, keys in keys_by_band(s, threshold) for k in keys.tolist()}
+            kept = []
+            for s in (a, b):
+                kept.append(set())
+                for band, spare, keys in keys_by_band(s, threshold):
+                    order = sorted(keys.tolist(), key=lambda k: (-frequent[k], k))
+                    kept[-1] |= {(band, k) for k in order[spare:]}
+            assert kept[0] & kept[1]
+            met += 1
+    assert met > 50
+
+
 def test_unequal_parts_bound_the_difference():
     rng = np.random.default_rng(5)
     base = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
