@@ -211,28 +211,33 @@ def near_forest(
 ) -> list[tuple[int, int]]:
     """Edges that span the components of the graph of pairs whose lengths and sketches allow a link.
 
-    Sizes rise, on either side of `left` for itself; with `left`, only pairs across it are compared.
+    Sizes rise, on either side of `left` for itself; with `left`, only pairs across it are compared. Two
+    sketches are compared at the length of the shorter one, whichever side it is on.
     """
     n, levels = len(sizes), _folded(sketches)
-    lengths = [len(s) for s in sketches]
+    lengths = np.array([len(s) for s in sketches], dtype=np.int64)
     root, edges = np.arange(n), []
     for i in range(n if left is None else left):
-        rows, matrix = levels[lengths[i]]
-        start = np.searchsorted(rows, i + 1 if left is None else left)
-        rows = rows[start:]
-        stop = np.searchsorted(sizes[rows], sizes[i] * threshold.q // threshold.p, side="right")
-        rows, sketch = rows[:stop], matrix[start : start + stop]
-        open_ = root[rows] != root[i]
-        rows, sketch = rows[open_], sketch[open_]
-        if not len(rows):
-            continue
-        own = np.bitwise_xor.reduce(sketches[i].reshape(-1, lengths[i]), axis=0).view(np.uint64)
-        allowed = (threshold.q - threshold.p) * (sizes[rows] + sizes[i]) // (threshold.q + threshold.p)
-        near = np.bitwise_count(sketch ^ own).sum(axis=1, dtype=np.int64) <= allowed
-        for j in rows[near].tolist():
-            if root[i] != root[j]:
-                edges.append((i, j))
-                root[root == root[j]] = root[i]
+        for length, (rows, matrix) in levels.items():
+            if length > lengths[i]:
+                break
+            start = np.searchsorted(rows, i + 1 if left is None else left)
+            rows = rows[start:]
+            stop = np.searchsorted(sizes[rows], sizes[i] * threshold.q // threshold.p, side="right")
+            if length < lengths[i]:  # longer ones are compared at a greater length
+                stop = min(stop, np.searchsorted(lengths[rows], length, side="right"))
+            rows, sketch = rows[:stop], matrix[start : start + stop]
+            open_ = root[rows] != root[i]
+            rows, sketch = rows[open_], sketch[open_]
+            if not len(rows):
+                continue
+            own = np.bitwise_xor.reduce(sketches[i].reshape(-1, length), axis=0).view(np.uint64)
+            allowed = (threshold.q - threshold.p) * (sizes[rows] + sizes[i]) // (threshold.q + threshold.p)
+            near = np.bitwise_count(sketch ^ own).sum(axis=1, dtype=np.int64) <= allowed
+            for j in rows[near].tolist():
+                if root[i] != root[j]:
+                    edges.append((i, j))
+                    root[root == root[j]] = root[i]
     return edges
 
 

@@ -323,3 +323,32 @@ def test_sketches_never_rule_out_a_link():
                     passing = jaccard_join.near_forest(sizes[pair], [sketches[i], sketches[j]], t)
                     assert passing or not linked
                     assert passing == jaccard_join.near_forest(sizes[pair], [sketches[i], sketches[j]], t, left=1)
+
+
+@pytest.mark.parametrize("p, q, change", [(90, 100, 608), (8, 10, 288), (8, 10, 576)])
+def test_hash_shares_of_one_size_class_keep_every_link(p, q, change):
+    # sketches grow at `change` shingles, inside a size class; its shares hold sizes on both sides of that
+    rng = np.random.default_rng(change)
+    t = Threshold(p, q)
+    few, many = (len(jaccard_join.bit_sketch(np.arange(n, dtype=np.uint64), t)) for n in (change - 1, change))
+    assert few < many
+    sets = []
+    for _ in range(30):
+        base = rng.integers(0, 1 << 63, change + 6, dtype=np.uint64)
+        sets += [np.unique(base[k:]) for k in (0, 5, 7, 12)]
+    n = len(sets)
+    links = [
+        (i, j)
+        for i in range(n)
+        for j in range(n)
+        if i < j and q * (shared := common(sets[i], sets[j])) >= p * (len(sets[i]) + len(sets[j]) - shared)
+    ]
+    assert len(links) == 30 * 6
+    share = rng.integers(0, 2, n)
+    order = sorted(range(n), key=lambda i: (share[i], len(sets[i])))
+    at = {i: k for k, i in enumerate(order)}
+    left = int((share == 0).sum())
+    sizes = np.array([len(sets[i]) for i in order])
+    found = jaccard_join.near_forest(sizes, [jaccard_join.bit_sketch(sets[i], t) for i in order], t, left)
+    crossing = [(at[i], at[j]) for i, j in links if share[i] != share[j]]
+    assert least_of_components(range(n), found) == least_of_components(range(n), crossing)
