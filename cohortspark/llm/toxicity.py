@@ -36,8 +36,6 @@ MIN_WORDS = 4
 MIN_STEM_DOCUMENTS = 8
 #: Shortest terms that may be written with one and with two errors.
 ONE_ERROR, TWO_ERRORS = 5, 9
-#: Terms of less log odds than this count only as they are written.
-MISSPELLED_LOG_ODDS = 5.0
 WINDOW = 8
 #: Words whose match a worker keeps at once; more only means that a word is matched again.
 CACHE = 1_000_000
@@ -115,7 +113,7 @@ class Trie:
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
         self.terms, self.stems = terms, stems
         heads, tails, middles = {}, {}, {}
-        loose = [t for t, w in terms.items() if w >= MISSPELLED_LOG_ODDS and allowed(t)]
+        loose = [t for t in terms if allowed(t)]
         for term in loose:
             pieces = allowed(term) + 1
             cut = [len(term) * k // pieces for k in range(pieces + 1)]

@@ -136,6 +136,14 @@ def test_automaton_accepts_what_edit_distance_does(errors):
         assert (found is not None) == bool(near), word
 
 
+def test_every_learned_term_may_be_misspelled():
+    # weights that a lexicon of few labels gives: no term of it is only found as it is written
+    terms = {"pathetic": 4.64, "idiot": 4.98, "disgusting": 4.33, "loser": toxicity.MIN_LOG_ODDS}
+    trie = toxicity.Trie(terms, {})
+    for word, term in (("patetic", "pathetic"), ("idoit", None), ("idiiot", "idiot"), ("disgustinng", "disgusting"), ("losr", "loser")):
+        assert trie.match(word) == (term and ("misspelled", terms[term] / 2)), word
+
+
 def test_toxicity_of_awkward_rows(awkward, empty, toxic):
     model = toxic[2]
     rows = toxicity.score(awkward, model).collect()
