@@ -124,9 +124,10 @@ def _summaries(words: int, threshold: Threshold):
                 second = (mix(h ^ np.uint64(0x5851F42D4C957F2D))).sum(dtype=np.uint64)
                 rows.append((len(h), int(first.astype(np.int64)), int(second.astype(np.int64)), bit_sketch(h, threshold).tobytes()))
             columns = list(zip(*rows)) if rows else [[]] * 4
+            kept = ["id", "text_key"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", "n", "s1", "s2", "sketch"]
+                [*map(batch.column, kept), *(pa.array(c, k) for c, k in zip(columns, kinds))], [*kept, "n", "s1", "s2", "sketch"]
             )
 
     return run
@@ -300,21 +301,21 @@ def _verify(threshold: Threshold, exact: bool, id_type):
 def _links(docs: DataFrame, candidates: DataFrame, threshold: Threshold, words: int | None = None) -> DataFrame:
     """Links (a, b) inside the candidate components, a spanning forest for each block or pair of blocks.
 
-    `candidates` has id, comp, n. Blocks go by size, so blocks whose sizes cannot link never meet. With
-    `words` the links are verified on the sets of the texts of `docs` (id, text); without, they are what
-    its bit sketches (id, n, sketch) allow.
+    `candidates` has id, text_key, comp, n, one row for each text of an id. Blocks go by size, so blocks whose
+    sizes cannot link never meet. With `words` the links are verified on the sets of the texts of `docs`
+    (id, text_key, text); without, they are what its bit sketches (id, text_key, n, sketch) allow.
     """
     exact = words is not None
     scale = 1 if exact else SKETCHES_PER_SET
     # a block is a size class of a component and, of a large class, a share by the hash of the id
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(threshold.q / threshold.p))).cast("long")
-    classed = candidates.select("id", "comp", "n", size_class.alias("class"))
+    classed = candidates.select("id", "text_key", "comp", "n", size_class.alias("class"))
     shares = F.greatest(
         F.ceil(F.sum("n") / (scale * BLOCK_SHINGLES)), F.ceil(F.count(F.lit(1)) / (scale * BLOCK_SETS)), F.lit(1)
     )
     classes = classed.groupBy("comp", "class").agg(shares.cast("long").alias("shares"))
     block = F.shiftleft("class", 32) + F.pmod(F.xxhash64("id"), F.col("shares"))
-    members = stored(classed.join(classes, ["comp", "class"]).select("id", "comp", "n", block.alias("block")), "members")
+    members = stored(classed.join(classes, ["comp", "class"]).select("id", "text_key", "comp", "n", block.alias("block")), "members")
     blocks = members.groupBy("comp", "block").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("weight")
     )
@@ -351,7 +352,7 @@ def _links(docs: DataFrame, candidates: DataFrame, threshold: Threshold, words:
     )
 
     kind = docs.schema["id"].dataType.simpleString()
-    placed = docs.join(members.select("id", "comp", "block"), "id")
+    placed = docs.join(members.select("id", "text_key", "comp", "block"), ["id", "text_key"])
     if exact:
         schema = f"id {kind}, comp {kind}, block long, size long, payload binary"
         placed = placed.select("id", "comp", "block", "text").mapInArrow(_sets(words), schema)
@@ -375,8 +376,10 @@ def jaccard_classes(
     """
     threshold = Threshold(p, q)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # tells the texts of an id apart; two with one key would each be placed with the other as well, so nothing is lost
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    summary = stored(rows.mapInArrow(_summaries(words, threshold), f"id {kind}, n long, s1 long, s2 long, sketch binary"), "summary")
+    summary = stored(keyed.mapInArrow(_summaries(words, threshold), f"id {kind}, text_key long, n long, s1 long, s2 long, sketch binary"), "summary")
     sets = ["n", "s1", "s2"]
     filled = summary.where("n > 0")
     reps = filled.groupBy(*sets).agg(F.min("id").alias("rep")).where("rep IS NOT NULL")
@@ -386,14 +389,14 @@ def jaccard_classes(
     rep_texts = rows.where("text IS NOT NULL").join(texts_of, "id")
     keys = rep_texts.mapInArrow(_keys(words, threshold), f"key long, id {kind}, band short, spare int")
     stars = _candidate_links(keys)
-    sizes = reps.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
+    sizes = filled.join(texts_of.select("id"), "id", "left_semi").select("id", "text_key", "n").distinct()
 
     def sized(edges: DataFrame, name: str) -> DataFrame:
         found = stored(connected_components(edges, name), name)
         return found.select("id", F.col("component").alias("comp")).join(sizes, "id")
 
-    near = _links(filled.select("id", "n", "sketch"), sized(stars, "candidates"), threshold)
-    links = _links(rows.where("text IS NOT NULL"), sized(near, "near"), threshold, words)
+    near = _links(filled.select("id", "text_key", "n", "sketch"), sized(stars, "candidates"), threshold)
+    links = _links(keyed.where("text IS NOT NULL"), sized(near, "near"), threshold, words)
 
     repeated = filled.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 AND id IS NOT NULL")
     same_id = filled.join(repeated.select("id"), "id").join(reps, sets).select(F.col("id").alias("a"), F.col("rep").alias("b"))

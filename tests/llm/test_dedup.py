@@ -352,3 +352,10 @@ def test_hash_shares_of_one_size_class_keep_every_link(p, q, change):
     found = jaccard_join.near_forest(sizes, [jaccard_join.bit_sketch(sets[i], t) for i in order], t, left)
     crossing = [(at[i], at[j]) for i, j in links if share[i] != share[j]]
     assert least_of_components(range(n), found) == least_of_components(range(n), crossing)
+
+
+def test_every_text_of_an_id_is_placed_by_its_own_size(spark):
+    text = [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((40, 1002))]
+    rows = [(5, text[0]), (5, text[1]), (6, text[0] + " more"), (7, text[1] + " more"), (8, "something else altogether")]
+    found = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
