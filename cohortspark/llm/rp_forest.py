@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import stored
@@ -210,11 +210,9 @@ def embedding_classes(
     keyed = stored(keyed, "keyed")
 
     leaves = stored(grow(keyed, min_cosine, trees, leaf), "leaves")
-    place = F.when(
-        F.col("n") > BLOCK,
-        F.floor((F.row_number().over(Window.partitionBy("leaf").orderBy("rep")) - 1) / BLOCK),
-    ).otherwise(F.lit(0).cast("long"))
-    big = leaves.where(F.col("n") > BLOCK).withColumn("block", place)
+    # dealt by hash, as rows of a leaf that is too tight to split are not bounded
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
+    big = leaves.where(F.col("n") > BLOCK).withColumn("block", block)
     blocks = big.groupBy("leaf").agg((F.max("block") + 1).alias("blocks"))
     big = big.join(blocks, "leaf").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     big = big.select(

@@ -359,3 +359,9 @@ def test_every_text_of_an_id_is_placed_by_its_own_size(spark):
     rows = [(5, text[0]), (5, text[1]), (6, text[0] + " more"), (7, text[1] + " more"), (8, "something else altogether")]
     found = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
     assert sorted((r.doc_id, r.component_id) for r in found) == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
+
+
+def test_no_task_orders_a_leaf(spark):
+    import inspect
+
+    assert "row_number" not in inspect.getsource(rp_forest.embedding_classes)
