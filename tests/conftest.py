@@ -7,15 +7,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from cohortspark.session import local_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8)
     yield session
     session.stop()
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from cohortspark.functions import ids as I
 from cohortspark.functions import values as V
 from cohortspark.operators import aggregates as A

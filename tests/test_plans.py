@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from conftest import SMALL
+from helpers import SMALL
 from cohortspark.catalog import views as W
 from cohortspark.operators import aggregates as A
 from cohortspark.operators import dedup as D

@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 from cohortspark import constants as C
 from cohortspark.plans import reports as R
 

@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import rows
+from helpers import rows
 from cohortspark.plans.align import with_mutation_patient
 from cohortspark.operators import dedup as D
 from cohortspark.session import shared_folder
