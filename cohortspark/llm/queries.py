@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, pii, rp_forest, toxicity, warc
+from cohortspark.llm import chat_format, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, pii, rp_forest, toxicity
+from cohortspark.llm import va_file, warc, whitening
 from cohortspark.llm.common import table
 
 #: Secret of the pseudonyms; a deployment passes its own.
@@ -77,3 +78,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op11_centroid_clustering", va_file.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.cluster_table(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_chat_format", chat_format.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_and_read(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
