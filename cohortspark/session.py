@@ -79,4 +79,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what `stored` wrote for these frames, once nothing that is still to be computed reads them.
+
+    Frames that `stored` did not return are left alone, so a loop may pass whatever it had before.
+    """
+    for table in tables:
+        path = getattr(table, "__dict__", {}).get("_stored_at")
+        if path is not None:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
