@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.session import stored
+from cohortspark.session import discard, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -59,6 +59,7 @@ __all__ = [
     "WORD_PATTERN",
     "ascii_lower",
     "bounded_sample",
+    "discard",
     "fold",
     "held_out",
     "stored",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import stored
+from cohortspark.llm.common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) for every node of `edges` (columns a, b); component is the smallest node reachable.
 
-    Loops and null ends are ignored; repeated edges do no harm; no edges give an empty result.
+    Loops and null ends are ignored; repeated edges do no harm; no edges give an empty result. The result is
+    a stored table; those of the rounds are deleted as soon as the next one stands.
     """
     spark = edges.sparkSession
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -41,9 +42,14 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         if sign["n"] == 0 or (before is not None and (sign["n"], sign["h"]) == before):
             break
         before = (sign["n"], sign["h"])
-        current = stored(_small_star(_large_star(current)), name)
+        after = stored(_small_star(_large_star(current)), name)
+        discard(current)
+        current = after
     kind = current.schema["a"].dataType.simpleString()
     if before is None:
+        discard(current)
         return spark.createDataFrame([], f"id {kind}, component {kind}")
     roots = current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return current.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
+    found = stored(current.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots), name)
+    discard(current)
+    return found

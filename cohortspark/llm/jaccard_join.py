@@ -6,11 +6,12 @@ number of unequal parts is a lower bound of the symmetric difference. For sizes
 of p/q allows a symmetric difference of (q-p)(a+b)/(q+p) at most; a sketch with more parts than that
 for its size band must agree in at least one part (pigeonhole), which is an equality join.
 
-Exactness: a sketch has more parts than that by several, so a linked pair agrees in several parts. Of the
-parts they agree in, the one that the fewest documents share comes first when each orders its own by that
-number, so every document may leave out as many of its most frequent parts as the pair must agree in beyond
-one. These are the parts filled by passages that many documents share, and the empty ones. In small bands
-several equal parts are demanded at once instead. What agrees in a part becomes a candidate component. Inside it, in blocks of bounded size, pairs are first compared by length and by the Hamming
+Exactness: a sketch has more parts than that by several, so a linked pair agrees in several parts. Order all
+parts of all documents in any one way: of those the pair agrees in, the last one in that order is still left when
+each document leaves out its first ones, as many as the pair must agree in beyond one. The order puts frequent
+parts first, as counted on a bounded sample: they are those filled by passages that many documents share, and the
+empty ones. In small bands several equal parts are demanded at once instead. What agrees in a part becomes a
+candidate component. Inside it, in blocks of bounded size, pairs are first compared by length and by the Hamming
 distance of bit sketches, a small part of the sets' bytes; what passes makes finer components, and inside
 these the exact sets are compared. Only a spanning forest leaves a task each time, so a group of copies
 never turns into all its pairs.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import stored
+from cohortspark.llm.common import discard, stored
 from cohortspark.llm.graph import connected_components
 from cohortspark.llm.shingles import mix, shingle_set
 
@@ -37,6 +38,15 @@ BLOCK_SHINGLES = 500_000
 BLOCK_SETS = 1024
 #: How many times as much a block of sketches holds.
 SKETCHES_PER_SET = 8
+#: Texts that the order of sketch parts is fitted on, about; and how many frequent parts it tells apart, each in
+#: so many of these texts at least. They decide on cost alone: every order keeps every link.
+ORDER_TEXTS = 50_000
+ORDER_PARTS = 1 << 18
+ORDER_LEAST = 3
+#: Join keys that a task compares among themselves before it hands them on.
+CHUNK_KEYS = 1 << 20
+#: Candidates up to so many rows (some 50 bytes each) are broadcast to where texts and sketches lie.
+BROADCAST_ROWS = 500_000
 #: Equal parts demanded at once, by the largest symmetric difference of a band; one beyond these.
 _TOGETHER = {1: 7, 2: 4, 3: 3, 4: 2, 5: 2, 6: 2}
 
@@ -52,11 +62,16 @@ class Threshold:
         """The largest symmetric difference of linked sets whose sizes add up to `total`."""
         return (self.q - self.p) * total // (self.q + self.p)
 
+    def growth(self) -> float:
+        """Ratio of the ends of a band. Wider bands need keys in two bands for fewer sets, but more parts a set;
+        beyond 0.4 parts a shingle too many parts would be empty."""
+        return min(1.45, 0.34 * (self.q + self.p) / (2 * (self.q - self.p)) * self.p / self.q)
+
     def bands(self, largest: int) -> list[int]:
         """Lower ends of the size bands: a set links with its own band and the two beside it only."""
-        ends = [1]
+        ends, growth = [1], self.growth()
         while ends[-1] <= largest:
-            ends.append(ends[-1] * self.q // self.p + 1)
+            ends.append(max(ends[-1] * self.q // self.p + 1, int(ends[-1] * growth)))
         return ends
 
 
@@ -98,11 +113,13 @@ def keys_by_band(hashes: np.ndarray, threshold: Threshold) -> list[tuple[int, in
     n = len(hashes)
     if not n:
         return []
-    ends = threshold.bands(n)
+    ends = threshold.bands(n * threshold.q // threshold.p + 1)
     own = int(np.searchsorted(ends, n, side="right")) - 1
-    ends.append(ends[-1] * threshold.q // threshold.p + 1)
+    ends = threshold.bands(ends[own + 1]) if len(ends) < own + 3 else ends
     out = []
     for band in (own, own + 1):
+        if band > own and n * threshold.q // threshold.p < ends[band]:
+            continue  # a larger set that it could link with lies in its own band as well
         difference = threshold.difference(2 * (ends[band + 1] - 1))
         if difference:  # without any difference only equal sets link, and those are one set already
             out.append((band, band_spare(difference), np.unique(band_keys(hashes, band, difference))))
@@ -133,35 +150,109 @@ def _summaries(words: int, threshold: Threshold):
     return run
 
 
-def _keys(words: int, threshold: Threshold):
+def _all_keys(words: int, threshold: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for text in batch.column("text").to_pylist():
+                keys = set_keys(shingle_set(text, words), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+
+    return run
+
+
+@dataclass
+class PartOrder:
+    """Frequent parts, as rising join keys, and how often each was found; all others count as not found."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def fit(cls, texts: DataFrame, rows: int, words: int, threshold: Threshold) -> PartOrder:
+        """`texts` has text_key and text, and `rows` rows. A bounded number of keys reaches the driver."""
+        share = F.pmod(F.xxhash64(F.lit("order"), "text_key"), F.lit(1 << 30)) < int(min(1.0, ORDER_TEXTS / max(rows, 1)) * (1 << 30))
+        keys = texts.where(share).select("text").mapInArrow(_all_keys(words, threshold), "key long")
+        often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ORDER_LEAST)
+        found = often.orderBy(F.desc("n"), "key").limit(ORDER_PARTS).toArrow()
+        keys, counts = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+        order = np.argsort(keys)
+        return cls(keys[order], counts[order])
+
+    def without_first(self, keys: np.ndarray, spare: int) -> np.ndarray:
+        """The rising `keys` of a set in one band without the first `spare` ones in this order."""
+        if not spare:
+            return keys
+        found = np.zeros(len(keys), dtype=np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            found = np.where(self.keys[at] == keys, self.counts[at], 0)
+        return keys[np.argsort(-found, kind="stable")[spare:]]
+
+
+def _forest(hubs: np.ndarray, members: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of the edges between hubs and members, those that span the same components."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in zip(hubs.tolist(), members.tolist()):
+        x, y = top(a), top(b)
+        if x != y:
+            root[x] = y
+            yield a, b
+
+
+def _keys(words: int, threshold: Threshold, order: PartOrder):
+    """(key, id) for the join. Of the texts that share a key within a chunk of a task, one hands it on.
+
+    The others are tied to it by a key of their own for each edge of a spanning forest, so a key that a third of
+    all texts have leaves a task once a chunk, and texts with all keys in common leave it as one edge each.
+    """
+
+    def chunk(keys: np.ndarray, owner: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+        by_key = np.argsort(keys, kind="stable")
+        keys, owner = keys[by_key], owner[by_key]
+        first = np.ones(len(keys), dtype=bool)
+        first[1:] = keys[1:] != keys[:-1]
+        hub = owner[first][np.cumsum(first) - 1]
+        rest = ~first & (hub != owner)
+        pairs = np.unique(hub[rest] * len(ids) + owner[rest])
+        edges = np.array(list(_forest(pairs // len(ids), pairs % len(ids))), dtype=np.int64).reshape(-1)
+        own = mix(mix(keys[:1] + np.uint64(1)) + np.repeat(np.arange(len(edges) // 2, dtype=np.uint64), 2))
+        columns = [np.concatenate([keys[first], own]).view(np.int64), np.concatenate([owner[first], edges])]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), ids.take(pa.array(columns[1]))], ["key", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owner, ids, size, count = [], [], [], 0, 0
+        for batch in batches:
+            begin = 0
             for at in range(batch.num_rows):
-                # several texts of one id have no order of parts in common, so none of them leaves out any
-                repeated = batch.column("repeated")[at].as_py()
-                for band, spare, keys in keys_by_band(shingle_set(batch.column("text")[at].as_py(), words), threshold):
-                    n = len(keys)
-                    ids = batch.column("id").take(pa.array(np.full(n, at)))
-                    columns = [np.full(n, band, np.int16), np.full(n, 0 if repeated else spare, np.int32)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.view(np.int64)), ids, *map(pa.array, columns)], ["key", "id", "band", "spare"]
-                    )
+                hashes = shingle_set(batch.column("text")[at].as_py(), words)
+                for _, spare, found in keys_by_band(hashes, threshold):
+                    found = order.without_first(found, spare)
+                    keys.append(found)
+                    owner.append(np.full(len(found), count + at - begin, dtype=np.int64))
+                    size += len(found)
+                if size >= CHUNK_KEYS:
+                    ids.append(batch.column("id").slice(begin, at + 1 - begin))
+                    yield chunk(np.concatenate(keys), np.concatenate(owner), pa.concat_arrays(ids))
+                    keys, owner, ids, size, count, begin = [], [], [], 0, 0, at + 1
+            ids.append(batch.column("id").slice(begin))
+            count += batch.num_rows - begin
+        if size:
+            yield chunk(np.concatenate(keys), np.concatenate(owner), pa.concat_arrays(ids))
 
     return run
 
 
 def _candidate_links(keys: DataFrame) -> DataFrame:
-    """(a, b) that tie documents with an equal key, each without its `spare` most frequent keys of a band.
-
-    Frequencies and least ids are aggregated before they are shuffled, and a frequent key only meets its one
-    row of them, in a join that adaptive execution can split; no key gathers its documents in one task.
-    """
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    rank = F.row_number().over(Window.partitionBy("id", "band").orderBy(F.desc("docs"), "key"))
-    kept = keys.join(shared, "key").withColumn("rank", rank).where("rank > spare").select("key", "id").distinct()
-    kept = stored(kept, "keys")
-    hubs = kept.groupBy("key").agg(F.min("id").alias("hub"))
-    return kept.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    """(a, b) that tie each document to the least one with an equal key."""
+    hub = F.min("id").over(Window.partitionBy("key"))
+    return keys.select(F.col("id").alias("a"), hub.alias("b")).where("a <> b").distinct()
 
 
 def _sets(words: int):
@@ -352,16 +443,22 @@ def _links(docs: DataFrame, candidates: DataFrame, threshold: Threshold, words:
     )
 
     kind = docs.schema["id"].dataType.simpleString()
-    placed = docs.join(members.select("id", "text_key", "comp", "block"), ["id", "text_key"])
+    places = members.select("id", "text_key", "comp", "block")
+    if members.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    placed = docs.join(places, ["id", "text_key"])
     if exact:
         schema = f"id {kind}, comp {kind}, block long, size long, payload binary"
         placed = placed.select("id", "comp", "block", "text").mapInArrow(_sets(words), schema)
     else:
         placed = placed.select("id", "comp", "block", F.col("n").alias("size"), F.col("sketch").alias("payload"))
     dealt = placed.join(pairs, ["comp", "block"]).select("task", "comp", "side", "id", "size", "payload")
-    return dealt.groupBy("task").applyInPandas(
+    links = dealt.groupBy("task").applyInPandas(
         _verify(threshold, exact, "int64" if kind in ("bigint", "int") else "object"), f"a {kind}, b {kind}"
     )
+    links = stored(links, "links")
+    discard(members)
+    return links
 
 
 def jaccard_classes(
@@ -384,23 +481,26 @@ def jaccard_classes(
     filled = summary.where("n > 0")
     reps = filled.groupBy(*sets).agg(F.min("id").alias("rep")).where("rep IS NOT NULL")
 
-    texts_of = filled.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("repeated"))
-    texts_of = texts_of.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    rep_texts = rows.where("text IS NOT NULL").join(texts_of, "id")
-    keys = rep_texts.mapInArrow(_keys(words, threshold), f"key long, id {kind}, band short, spare int")
-    stars = _candidate_links(keys)
-    sizes = filled.join(texts_of.select("id"), "id", "left_semi").select("id", "text_key", "n").distinct()
+    texts = keyed.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text_key", "text")
+    order = PartOrder.fit(texts, summary.count(), words, threshold)
+    keys = texts.select("id", "text").mapInArrow(_keys(words, threshold, order), f"key long, id {kind}")
+    # of texts with equal sets, one is compared for all of them
+    sizes = filled.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text_key", "n").distinct()
 
-    def sized(edges: DataFrame, name: str) -> DataFrame:
-        found = stored(connected_components(edges, name), name)
-        return found.select("id", F.col("component").alias("comp")).join(sizes, "id")
+    def links_inside(edges: DataFrame, name: str, rows: DataFrame, *how) -> DataFrame:
+        comps = connected_components(edges, name)
+        found = _links(rows, comps.select("id", F.col("component").alias("comp")).join(sizes, "id"), threshold, *how)
+        discard(comps)
+        return found
 
-    near = _links(filled.select("id", "text_key", "n", "sketch"), sized(stars, "candidates"), threshold)
-    links = _links(keyed.where("text IS NOT NULL"), sized(near, "near"), threshold, words)
+    near = links_inside(_candidate_links(keys), "candidates", filled.select("id", "text_key", "n", "sketch"))
+    links = links_inside(near, "near", keyed.where("text IS NOT NULL"), words)
+    discard(near)
 
     repeated = filled.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 AND id IS NOT NULL")
     same_id = filled.join(repeated.select("id"), "id").join(reps, sets).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     components = connected_components(links.union(same_id), "links")
+    discard(links)
 
     classes = reps.join(components, F.col("rep") == F.col("id"), "left").select(
         *sets, F.coalesce("component", "rep").alias("component_id")

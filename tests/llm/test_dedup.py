@@ -365,3 +365,26 @@ def test_no_task_orders_a_leaf(spark):
     import inspect
 
     assert "row_number" not in inspect.getsource(rp_forest.embedding_classes)
+
+
+def test_chunks_hand_on_one_text_a_key_and_tie_the_rest(monkeypatch):
+    """Whatever the chunks, equal keys connect the same texts, and copies leave a chunk as one edge each."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randrange(4000)}" for _ in range(120)) for _ in range(4)]
+    texts = [base[i % 3] for i in range(60)] + [base[3], " ".join(base[3].split()[:-1]), "", base[0][:40]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    order = jaccard_join.PartOrder(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    found = []
+    for chunk_keys in (1, 100, 1 << 20):
+        monkeypatch.setattr(jaccard_join, "CHUNK_KEYS", chunk_keys)
+        out = [b for b in jaccard_join._keys(5, Threshold(8, 10), order)(iter([batch, batch.slice(0, 7)]))]
+        rows = [(k, i) for b in out for k, i in zip(b.column("key").to_pylist(), b.column("id").to_pylist())]
+        least = {}
+        for k, i in rows:
+            least[k] = min(i, least.get(k, i))
+        found.append(least_of_components({i: None for i in range(len(texts))}, [(i, least[k]) for k, i in rows if i != least[k]]))
+    assert found[0] == found[1] == found[2]
+    assert found[0][3] == found[0][0] and found[0][60] == found[0][61] and found[0][62] == 62
+    assert len(rows) < 4 * 60 + 2 * 70
