@@ -41,8 +41,8 @@ SKETCHES_PER_SET = 8
 #: Texts that the order of sketch parts is fitted on, about; and how many frequent parts it tells apart, each in
 #: so many of these texts at least. They decide on cost alone: every order keeps every link.
 ORDER_TEXTS = 50_000
-ORDER_PARTS = 1 << 18
-ORDER_LEAST = 3
+ORDER_PARTS = 1 << 13
+ORDER_LEAST = 10
 #: Join keys that a task compares among themselves before it hands them on.
 CHUNK_KEYS = 1 << 20
 #: Candidates up to so many rows (some 50 bytes each) are broadcast to where texts and sketches lie.
