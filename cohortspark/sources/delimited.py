@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark import constants as C
+from cohortspark.sources.split_csv import read_split_csv
 
 MUTATION_COLUMNS = ("Hugo_Symbol", "Tumor_Sample_Barcode", "Variant_Classification")
 REPORT_COLUMNS = ("patient_filename", "text")
@@ -54,13 +55,10 @@ def read_mutations(
 def read_reports(spark: SparkSession, path: str, columns: Sequence[str] = REPORT_COLUMNS) -> DataFrame:
     """Comma-separated free text with quoted line breaks and doubled quotes, plus `row_order`.
 
-    `row_order` (file, place) follows the files by name and the order in each, whatever
-    files share a task, for operators that keep a first row. A file with line breaks inside
-    values cannot be split: many files are read side by side, and Parquet is the form to go on from.
+    `row_order` (file, place) follows the files by name and the order in each, whatever files or parts of
+    files share a task, for operators that keep a first row. A file is read in ranges (`split_csv`).
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    order = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
-    return normalize_na(raw.select(*columns, order.alias("row_order")), columns)
+    return normalize_na(read_split_csv(spark, path).select(*columns, "row_order"), columns)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
