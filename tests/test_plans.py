@@ -74,7 +74,7 @@ def test_tfidf_shuffles_terms_only(spark):
     docs = W.table(spark, SMALL, "documents").select("doc_id", F.lower("text").alias("t"))
     fitted = plan(TI.term_statistics(docs, "t"))
     assert re.findall(r"Exchange hashpartitioning\((\w+)#", fitted) == ["term"]
-    assert fitted.count("Generate inline") == 1
+    assert "Generate" not in fitted and fitted.count("MapInArrow") >= 1
     weights = plan(TI.fit_tfidf(docs, "t").weights(docs, "doc_id", "t"))
     assert "Exchange" not in weights
 
