@@ -41,7 +41,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 )
-CONTAINERS = frozenset("article main section div body td blockquote center".split())
+CONTAINERS = frozenset("article main section div body td center".split())
 #: Words of a class, id or role that mark what is not the article.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsbox banner sponsor sponsored promo promotion nav navbar navigation "
@@ -50,6 +50,15 @@ BOILERPLATE = frozenset(
     "respond reply replies discussion disqus reader readers related recommended recommendations share sharing social follow "
     "search form widget widgets pagination pager skip copyright legal disclaimer complementary contentinfo".split()
 )
+#: Words that say nothing about what an element holds: inside an article, a name marks boilerplate only if all its
+#: words are of these or the ones above (`share-buttons` does, `social-history` is a subject).
+NEUTRAL = frozenset(
+    "area bar block body bottom box boxes button buttons col column container content footer form group grid header heading icon icons "
+    "inline inner item items label left line link links list main more outer panel post posts right row section slot small stories "
+    "text title top unit view widget wrap wrapper".split()
+)
+#: Unlinked characters of a block that make it prose.
+PROSE = 80
 #: Tags that end an open paragraph, and for others the open tags that they end themselves.
 _ENDS_P = frozenset(
     "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav "
@@ -74,6 +83,8 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
     #: Generalised path of every container, and the container around it.
     paths: list[str] = field(default_factory=list)
+    parents: list[int | None] = field(default_factory=list)
+    tags: list[str] = field(default_factory=list)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -95,7 +106,13 @@ def _boilerplate(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         names = attrs.get("class", "") if tag == "p" else ""
     else:
         names = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-    return any(w in BOILERPLATE for w in re.split(r"[^a-z]+", names.lower())) if names else False
+    if not in_article:
+        return any(w in BOILERPLATE for w in re.split(r"[^a-z]+", names.lower()))
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if len(w) > 1]
+        if any(w in BOILERPLATE for w in words) and all(w in BOILERPLATE or w in NEUTRAL for w in words):
+            return True
+    return False
 
 
 def parse(page: str) -> Page:
@@ -170,16 +187,19 @@ def parse(page: str) -> Page:
                 if stack[i][0] in _SCOPE.get(tag, ()) or tag not in _ENDS:
                     break
         above = stack[-1] if stack else ("", None, False, False)
-        outside = above[3] or _boilerplate(tag, attrs, any(t in ("article", "main") for t, *_ in stack))
+        in_article = any(t in ("article", "main") for t, *_ in stack)
+        outside = above[3] or _boilerplate(tag, attrs, in_article)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
             at = end.end() if end else size
             continue
         container = None
-        if tag in CONTAINERS:
+        if tag in CONTAINERS and not (tag == "section" and in_article):  # a section of an article is part of it
             container = len(out.paths)
             parents = [c for _, c, _, _ in stack if c is not None]
             out.paths.append((out.paths[parents[-1]] + ">" if parents else "") + _step(tag, attrs))
+            out.parents.append(parents[-1] if parents else None)
+            out.tags.append(tag)
         stack.append((tag, container, above[2] or tag == "a", outside))
     flush()
     return out
@@ -200,9 +220,21 @@ def scores(page: Page) -> list[float]:
 
 
 def best_path(page: Page) -> str | None:
+    """The path of the container with the highest score, or of the one around it that its article begins in.
+
+    A part of an article may score higher than the article. So the best container gives way to the nearest
+    `article` around it, and to any container around it that holds prose of its own beside it.
+    """
     found = scores(page)
     best = max(range(len(found)), key=lambda i: (found[i], -i), default=None)
-    return page.paths[best] if best is not None and found[best] > 0 else None
+    if best is None or found[best] <= 0:
+        return None
+    own = {b.path[-1] for b in page.blocks if b.path and not b.outside and len(b.text) - 2 * b.linked >= PROSE}
+    around, lifted = best, best
+    while (around := page.parents[around]) is not None:
+        if page.tags[lifted] != "article" and (page.tags[around] == "article" or around in own):
+            lifted = around
+    return page.paths[lifted]
 
 
 def main_text(page: Page, winning: list[str]) -> str:

@@ -294,3 +294,35 @@ def test_text_of_the_given_pages_is_their_article(spark):
         text = [" ".join(H.unescape(re.sub(r"</?b>", "", b)).split()) for b in blocks]
         assert found[r.page_id].text == " ".join(t for t in text if t)
         assert found[r.page_id].n_chars == len(found[r.page_id].text)
+
+
+PROSE = "A sentence of the article that is long enough to count as prose, with all the commas that it needs."
+MANY = "".join(f"<p>{i} {PROSE}</p>" for i in range(8))
+
+
+@pytest.mark.parametrize(
+    "page, first, last, blocks",
+    [
+        (f"<body><article><h1>Title</h1><p>First. {PROSE}</p><section>{MANY}</section></article></body>", "Title First.", f"7 {PROSE}", 9),
+        (f"<article><h1>Head</h1><p>Intro. {PROSE}</p><blockquote>{MANY}</blockquote><p>Closing line.</p></article>", "Head Intro.", "Closing line.", 9),
+        (f"<body><div class=post><h1>T</h1><p>Lead. {PROSE}</p><section>{MANY}</section></div><div class=x><p>{PROSE}</p></div></body>", "T Lead.", f"7 {PROSE}", 9),
+        (
+            f"<article><p>Begin. {PROSE}</p><div class='social-history'>{MANY}</div><div class='search-results-analysis'><p>{PROSE}</p></div>"
+            f"<div class='share-buttons'>{PROSE}</div><div class='reader comments'>{PROSE}</div><div id='related-posts'>{PROSE}</div></article>",
+            "Begin.", PROSE, 10,
+        ),
+    ],
+)
+def test_no_part_of_an_article_is_lost(page, first, last, blocks):
+    text = main_text(parse(page), [])
+    assert text.startswith(first) and text.endswith(last) and text.count(PROSE) == blocks
+
+
+def test_the_host_overrules_a_page_whose_own_best_container_is_wrong(spark):
+    def page(body, aside=""):
+        return f"<body><div class='story s1'><p>{body}</p></div><div class='extra'><p>{aside}</p></div></body>"
+
+    rows = [(i, f"http://h.org/{i}", page(f"{i} {PROSE} {PROSE}")) for i in range(6)]
+    rows.append((9, "http://h.org/9", page(f"short {PROSE}", PROSE * 5)))
+    found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert best_path(parse(rows[-1][2])).endswith("div.extra") and found[9] == f"short {PROSE}"
