@@ -1,14 +1,10 @@
 """Linear classifier with modified Huber loss and elastic-net penalty.
 
-Spark ML has no such loss. The weighted mean loss and its gradient are sums over
-rows: every partition adds up its Arrow batches, the partial sums are reduced
-per coordinate by a shuffle, and the driver gets one row per coordinate and takes a
-quasi-Newton step. Driver memory depends on the number of features only.
+Spark ML has no such loss. The fit is the one of `linear`, with a single model.
 """
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,16 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-log = logging.getLogger(__name__)
-
-
-def huber_loss(margin: np.ndarray) -> np.ndarray:
-    """Loss at margin m = y * f(x): 0 from 1 up, (1 - m)^2 from -1 up, -4m below."""
-    return np.where(margin >= 1, 0.0, np.where(margin >= -1, (1 - margin) ** 2, -4 * margin))
-
-
-def huber_slope(margin: np.ndarray) -> np.ndarray:
-    return np.where(margin >= 1, 0.0, np.where(margin >= -1, -2 * (1 - margin), -4.0))
+from cohortspark.operators.linear import Minimum, Objective, csr, fit_columns, huber_loss, huber_slope  # noqa: F401
 
 
 def loss_column(margin):
@@ -38,25 +25,6 @@ def probability_column(decision):
     return (F.greatest(F.least(decision, F.lit(1.0)), F.lit(-1.0)) + 1) / 2
 
 
-def _csr(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, column index and value of every stored entry of a vector column."""
-    vectors = batch.column(batch.schema.get_field_index(name))
-    kinds = vectors.field("type").to_numpy(zero_copy_only=False)
-    values = vectors.field("values")
-    lengths = np.diff(values.offsets.to_numpy())
-    rows = np.repeat(np.arange(len(lengths)), lengths)
-    flat = values.flatten().to_numpy(zero_copy_only=False)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    if (kinds == 1).all():
-        return rows, place, flat
-    indices = vectors.field("indices")
-    if (kinds == 0).all():
-        return rows, indices.flatten().to_numpy(zero_copy_only=False), flat
-    index = place.copy()
-    index[(kinds == 0)[rows]] = indices.drop_null().flatten().to_numpy(zero_copy_only=False)
-    return rows, index, flat
-
-
 @dataclass(frozen=True)
 class ModifiedHuberModel:
     coefficients: np.ndarray
@@ -65,6 +33,10 @@ class ModifiedHuberModel:
     iterations: int
     converged: bool = True
 
+    @classmethod
+    def of(cls, found: Minimum) -> "ModifiedHuberModel":
+        return cls(found.coefficients, found.intercept, found.objective, found.passes, found.converged)
+
     def save(self, spark: SparkSession, path: str) -> None:
         """One row per non-zero coefficient, and the rest of the model under position -1."""
         used = np.flatnonzero(self.coefficients)
@@ -98,7 +70,7 @@ class ModifiedHuberModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows, index, value = _csr(batch, "_unwrapped")
+                rows, index, value = csr(batch, "_unwrapped")
                 decision = np.bincount(rows, value * weights.value[index], batch.num_rows) + intercept
                 kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(decision)], names=[*keep, "decision"])
@@ -109,6 +81,12 @@ class ModifiedHuberModel:
         return source.mapInArrow(run, schema).withColumn(probability, probability_column(F.col("decision")))
 
 
+def huber_objective(
+    alpha: float = 1e-4, l1_ratio: float = 0.15, max_iter: int = 1000, tolerance: float = 1e-4
+) -> Objective:
+    return Objective("huber", alpha * (1 - l1_ratio), alpha * l1_ratio, max_iter, tolerance)
+
+
 def fit_modified_huber(
     df: DataFrame,
     label: str = "label",
@@ -126,100 +104,7 @@ def fit_modified_huber(
     descend. `converged` of the model tells whether that came within `max_iter` passes.
     `df` should be stored or cached.
     """
-    spark = df.sparkSession
-    data = df.select(
-        F.unwrap_udt(features).alias("x"),
-        (F.col(label) * 2 - 1).cast("double").alias("y"),
-        (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"),
-    )
-    dim = F.max(F.coalesce(F.col("x.size"), F.size("x.values")))
-    total, d = data.agg(F.sum("w"), dim).first()
-
-    def loss_and_gradient(point: np.ndarray) -> tuple[float, np.ndarray]:
-        shared = spark.sparkContext.broadcast(point)
-
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(d + 2)
-            b = shared.value
-            for batch in batches:
-                rows, index, value = _csr(batch, "x")
-                y, w = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("y", "w"))
-                margin = y * (np.bincount(rows, value * b[index], batch.num_rows) + b[d])
-                slope = w * y * huber_slope(margin)
-                sums[:d] += np.bincount(index, value * slope[rows], d)
-                sums[d] += slope.sum()
-                sums[d + 1] += (w * huber_loss(margin)).sum()
-            used = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[used])], names=["i", "s"])
-
-        parts = data.mapInArrow(partial, "i int, s double").groupBy("i").agg(F.sum("s").alias("s"))
-        sums = np.zeros(d + 2)
-        for row in parts.collect():  # at most one row per feature
-            sums[row.i] = row.s
-        shared.unpersist()
-        smooth = alpha * (1 - l1_ratio)
-        gradient = sums[: d + 1] / total
-        gradient[:d] += smooth * point[:d]
-        value = sums[d + 1] / total + smooth / 2 * point[:d] @ point[:d]
-        return value, gradient
-
-    penalty = np.full(d + 1, alpha * l1_ratio)
-    penalty[d] = 0.0
-    point, value, passes, converged = minimise(loss_and_gradient, penalty, max_iter, tolerance)
-    if not converged:
-        log.warning("the Huber classifier has not converged after %d passes", passes)
-    return ModifiedHuberModel(point[:d], float(point[d]), value, passes, converged)
-
-
-#: Passes in a row without progress that end a fit, and the length of a subgradient that counts as none.
-STALLED, FLAT = 5, 1e-5
-
-
-def minimise(loss_and_gradient, penalty: np.ndarray, max_passes: int, tolerance: float, memory: int = 10):
-    """The point that minimises loss + penalty * |point|, by quasi-Newton steps kept inside an orthant.
-
-    Returns the point, its objective, the passes over the data, and whether the steps came to
-    an end: a flat subgradient, or `STALLED` steps in a row that gained less than the tolerance.
-    """
-
-    def steepest(point: np.ndarray, gradient: np.ndarray) -> np.ndarray:
-        """The subgradient of least length."""
-        at_zero = np.sign(gradient) * np.maximum(np.abs(gradient) - penalty, 0.0)
-        return np.where(point != 0, gradient + penalty * np.sign(point), at_zero)
-
-    point = np.zeros(len(penalty))
-    loss, gradient = loss_and_gradient(point)
-    objective, passes, steps, stalled = loss + penalty @ np.abs(point), 1, [], 0
-    while True:
-        slope = steepest(point, gradient)
-        if stalled >= STALLED or np.linalg.norm(slope) <= FLAT * max(1.0, np.linalg.norm(point)):
-            return point, objective, passes, True
-        direction, held = slope.copy(), []
-        for s, y in reversed(steps):
-            held.append((s @ direction) / (s @ y))
-            direction -= held[-1] * y
-        if steps:
-            s, y = steps[-1]
-            direction *= (s @ y) / (y @ y)
-        for (s, y), a in zip(steps, reversed(held)):
-            direction += (a - (y @ direction) / (s @ y)) * s
-        direction = np.where(direction * slope > 0, -direction, 0.0)
-        orthant = np.where(point != 0, np.sign(point), -np.sign(slope))
-        step = 1.0 if steps else 1.0 / np.linalg.norm(slope)
-        while True:
-            if passes >= max_passes:
-                return point, objective, passes, False
-            moved = point + step * direction
-            moved = np.where((moved * orthant > 0) | (penalty == 0), moved, 0.0)
-            loss, new_gradient = loss_and_gradient(moved)
-            new_objective, passes = loss + penalty @ np.abs(moved), passes + 1
-            if new_objective <= objective + 1e-4 * slope @ (moved - point):
-                break
-            step /= 2
-            if step < 1e-12:
-                return point, objective, passes, False
-        s, y = moved - point, new_gradient - gradient
-        if s @ y > 1e-12 * (y @ y):
-            steps = [*steps[-memory + 1 :], (s, y)]
-        stalled = stalled + 1 if objective - new_objective < tolerance else 0
-        point, gradient, objective = moved, new_gradient, new_objective
+    row_weight = F.lit(1.0) if weight is None else F.col(weight)
+    data = df.select(F.col(features).alias("features"), F.array(F.col(label).cast("int")).alias("labels"), row_weight.alias("w"))
+    found = fit_columns(data, [huber_objective(alpha, l1_ratio, max_iter, tolerance)], weight="w", balanced=False)
+    return ModifiedHuberModel.of(found[0])

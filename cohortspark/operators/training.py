@@ -1,18 +1,22 @@
 """Classifiers on Spark ML: training, cross-validation, per-gene and per-cohort models.
 
 Frames that several fits read are expected to be stored or cached by the caller
-(see `session.stored`). Loops on the driver run over models, folds, genes and
-cohorts, never over rows; everything measured comes back as DataFrames.
+(see `session.stored`). Linear models over the same features (folds, genes, cohorts) are
+trained and scored side by side (`LinearFit`, see `linear`): a step of all of them is one
+job. Loops on the driver run over forests and handed-in fits, never over rows; everything
+measured comes back as DataFrames.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +25,9 @@ from cohortspark.functions import values as V
 from cohortspark.operators import metrics as M
 from cohortspark.operators.aggregates import balanced_weights
 from cohortspark.operators.dedup import ranked_limit
-from cohortspark.operators.huber import ModifiedHuberModel, fit_modified_huber
-from cohortspark.operators.splits import stratified_folds, stratified_split
+from cohortspark.operators.huber import ModifiedHuberModel, fit_modified_huber, huber_objective
+from cohortspark.operators.linear import Minimum, Objective, fit_columns, score_columns
+from cohortspark.operators.splits import split_columns, stratified_folds, stratified_split
 from cohortspark.session import stored
 
 Fit = Callable[[DataFrame], object]
@@ -94,6 +99,55 @@ def fit_huber(train: DataFrame, label: str = "label", features: str = "features"
     return fit_modified_huber(weighted, label, features, weight="weight", **options)
 
 
+@dataclass(frozen=True)
+class LinearFit:
+    """A linear fit with balanced class weights that can also be trained side by side with others.
+
+    Called with rows it is `fit_logistic` or `fit_huber`; its objective is that of the same classifier.
+    """
+
+    loss: str = "logistic"
+    max_iter: int = 1000
+
+    def __call__(self, train: DataFrame):
+        return {"logistic": fit_logistic, "huber": fit_huber}[self.loss](train, max_iter=self.max_iter)
+
+    @property
+    def objective(self) -> Objective:
+        if self.loss == "huber":
+            return huber_objective(max_iter=self.max_iter)
+        return Objective("logistic", None, 0.0, self.max_iter, tolerance=1e-9, flat=1e-6)
+
+    def model(self, found: Minimum):
+        return ModifiedHuberModel.of(found) if self.loss == "huber" else _logistic_model(found)
+
+
+def _logistic_model(found: Minimum) -> LogisticRegressionModel:
+    """The coefficients as the model `fit_logistic` returns."""
+    model = LogisticRegressionModel._create_from_java_class(
+        "org.apache.spark.ml.classification.LogisticRegressionModel",
+        LogisticRegressionModel._randomUID(),
+        Vectors.dense(found.coefficients),
+        found.intercept,
+    )
+    return model.setProbabilityCol("_probability").setRawPredictionCol("_raw").setPredictionCol("_prediction")
+
+
+def fit_side_by_side(df: DataFrame, fits: Mapping[str, LinearFit], labels: str = "labels", features: str = "features") -> dict[str, Minimum]:
+    """One minimum per name; entry i of the array `labels` is the label of a row for the i-th name, or NULL."""
+    found = fit_columns(df, [fit.objective for fit in fits.values()], labels, features)
+    return dict(zip(fits, found))
+
+
+def score_side_by_side(
+    df: DataFrame, fits: Mapping[str, LinearFit], found: Mapping[str, Minimum], labels: str = "labels", features: str = "features"
+) -> DataFrame:
+    """(name, label, probability, prediction) of the rows that have a label for a name."""
+    names = list(found)
+    scored = score_columns(df, names, [fits[n].loss for n in names], [found[n] for n in names], labels, features)
+    return scored.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+
+
 def score_all(model, df: DataFrame, features: str = "features") -> DataFrame:
     """Replace the features by `probability` of the positive class and the hard `prediction` (> 0.5)."""
     if isinstance(model, ModifiedHuberModel):
@@ -106,9 +160,9 @@ def score_all(model, df: DataFrame, features: str = "features") -> DataFrame:
 
 def default_models(num_trees: int = 300, max_depth: int = 30, max_iter: int = 1000) -> dict[str, Fit]:
     return {
-        "Logistic Regression": lambda train: fit_logistic(train, max_iter=max_iter),
+        "Logistic Regression": LinearFit("logistic", max_iter),
         "Random Forest": lambda train: fit_forest(train, num_trees=num_trees, max_depth=max_depth),
-        "SGD Classifier": lambda train: fit_huber(train, max_iter=max_iter),
+        "SGD Classifier": LinearFit("huber", max_iter),
     }
 
 
@@ -129,11 +183,16 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def cv_scores(df: DataFrame, id_col: str, models: Mapping[str, Fit], label: str = "label", k: int = C.CV_FOLDS, threads: int = 3) -> DataFrame:
-    """Out-of-fold scores (Model, fold, label, probability) of every model."""
+    """Out-of-fold scores (Model, fold, label, probability) of every model.
+
+    The folds of all linear fits are trained in the same passes; the other fits run one by one.
+    """
     folds = stored(stratified_folds(df, id_col, label, k), "folds")
+    linear = {name: fit for name, fit in models.items() if isinstance(fit, LinearFit)}
     fits = {
         (name, fold): (lambda fit=fit, fold=fold: fit(folds.where(F.col("fold") != fold)))
         for name, fit in models.items()
+        if name not in linear
         for fold in range(k)
     }
     fitted = in_parallel(fits, threads)
@@ -143,9 +202,28 @@ def cv_scores(df: DataFrame, id_col: str, models: Mapping[str, Fit], label: str
         )
         for (name, fold), model in fitted.items()
     ]
+    if linear:
+        parts.append(_fold_scores(folds, linear, label, k))
     return stored(union_all(parts), "cv-scores")
 
 
+def _fold_scores(folds: DataFrame, linear: Mapping[str, LinearFit], label: str, k: int) -> DataFrame:
+    """Out-of-fold scores of linear fits, each entry of the labels being a (model, fold)."""
+    cells = {f"{i}:{fold}": (name, fit, fold) for i, (name, fit) in enumerate(linear.items()) for fold in range(k)}
+    fits = {cell: fit for cell, (_, fit, _) in cells.items()}
+    y, at = F.col(label).cast("int"), F.col("fold")
+    inside = folds.select("features", F.array(*[F.when(at != fold, y) for _, _, fold in cells.values()]).alias("labels"))
+    outside = folds.select("features", F.array(*[F.when(at == fold, y) for _, _, fold in cells.values()]).alias("labels"))
+    scores = score_side_by_side(outside, fits, fit_side_by_side(inside, fits))
+    cell = F.split("name", ":")
+    return scores.select(
+        V.value_map(cell[0], {str(i): name for i, name in enumerate(linear)}).alias("Model"),
+        cell[1].cast("int").alias("fold"),
+        F.col("label").alias(label),
+        "probability",
+    )
+
+
 def cv_auc(df: DataFrame, id_col: str, models: Mapping[str, Fit], label: str = "label", k: int = C.CV_FOLDS) -> DataFrame:
     """Per model the mean and population standard deviation of the fold AUCs."""
     per_fold = M.auc(cv_scores(df, id_col, models, label, k), label, "probability", by=["Model", "fold"])
@@ -250,6 +328,20 @@ def _fit_each(frames: Mapping[str, DataFrame], id_col: str, fit: Fit, threads: i
     return {name: model for name, (model, _) in done.items()}, scores
 
 
+def _fit_columns(df: DataFrame, id_col: str, flags: Mapping[str, Column], features: str, fit: LinearFit) -> tuple[dict, DataFrame | None]:
+    """As `_fit_each`, all together: a row belongs to the models whose flag is not NULL."""
+    if not flags:
+        return {}, None
+    fits = {name: fit for name in flags}
+    labelled = df.select(
+        id_col, F.col(features).alias("features"), F.array(*[flag.cast("int") for flag in flags.values()]).alias("labels")
+    )
+    sides = stored(split_columns(labelled, id_col, "labels", len(flags)), "sides")
+    found = fit_side_by_side(sides, fits, "train")
+    scores = stored(score_side_by_side(sides, fits, found, "test"), "test-scores")
+    return {name: fit.model(minimum) for name, minimum in found.items()}, scores
+
+
 def _scores_table(scores: DataFrame) -> DataFrame:
     aucs = M.auc(scores, "label", "probability", by=["name"]).select("name", V.round_even(F.col("auc"), 4).alias("AUC"))
     f1 = M.precision_recall_f1(M.confusion_matrix(scores, "label", "prediction", by=["name"]))
@@ -261,17 +353,24 @@ def per_gene_models(
     id_col: str,
     flags: Mapping[str, Column],
     features: str = "features",
-    fit: Fit = fit_logistic,
+    fit: Fit = LinearFit("logistic"),
     threads: int = 8,
 ) -> tuple[dict[str, object], DataFrame]:
-    """One balanced classifier per gene with enough positives, and (Gene, N_Positive, N_Negative, AUC, F1)."""
+    """One balanced classifier per gene with enough positives, and (Gene, N_Positive, N_Negative, AUC, F1).
+
+    A `LinearFit` trains all genes side by side; any other fit is called once per gene. Rows of which a
+    flag is NULL are left out of the model of that gene.
+    """
     counts = gene_label_counts(df, flags).where("eligible").drop("eligible")
     eligible = [row.Gene for row in counts.select("Gene").collect()]  # bounded by the gene list
-    frames = {
-        gene: df.select(id_col, F.col(features).alias("features"), flags[gene].cast("int").alias("label"))
-        for gene in eligible
-    }
-    models, scores = _fit_each(frames, id_col, fit, threads)
+    if isinstance(fit, LinearFit):
+        models, scores = _fit_columns(df, id_col, {gene: flags[gene] for gene in eligible}, features, fit)
+    else:
+        frames = {
+            gene: df.select(id_col, F.col(features).alias("features"), flags[gene].cast("int").alias("label")).where("label IS NOT NULL")
+            for gene in eligible
+        }
+        models, scores = _fit_each(frames, id_col, fit, threads)
     if scores is None:
         return {}, counts.select("Gene", "N_Positive", "N_Negative", F.lit(None).cast("double").alias("AUC"), F.lit(None).cast("double").alias("F1"))
     table = counts.join(_scores_table(scores).withColumnRenamed("name", "Gene"), "Gene")
@@ -303,20 +402,27 @@ def per_cohort_models(
     label: str,
     cohorts: Sequence[str],
     features: str = "features",
-    fit: Fit = fit_logistic,
+    fit: Fit = LinearFit("logistic"),
     threads: int = 8,
 ) -> tuple[dict[str, object], DataFrame]:
-    """One classifier for each listed cohort that is large enough, and (Cohort, N_Patients, N_Tgt, AUC)."""
+    """One classifier for each listed cohort that is large enough, and (Cohort, N_Patients, N_Tgt, AUC).
+
+    A `LinearFit` trains all cohorts side by side; any other fit is called once per cohort.
+    """
     listed = df.where(F.col(cohort).isin(list(cohorts)))
     counts = cohort_eligibility(listed, cohort, label).where("eligible").drop("eligible").withColumnRenamed(cohort, "Cohort")
     eligible = [row.Cohort for row in counts.select("Cohort").collect()]  # bounded by the cohort list
-    frames = {
-        name: listed.where(F.col(cohort) == name).select(
-            id_col, F.col(features).alias("features"), F.col(label).cast("int").alias("label")
-        )
-        for name in eligible
-    }
-    models, scores = _fit_each(frames, id_col, fit, threads)
+    if isinstance(fit, LinearFit):
+        flags = {name: F.when(F.col(cohort) == name, F.col(label).cast("int")) for name in eligible}
+        models, scores = _fit_columns(listed.where(F.col(cohort).isin(eligible)), id_col, flags, features, fit)
+    else:
+        frames = {
+            name: listed.where(F.col(cohort) == name).select(
+                id_col, F.col(features).alias("features"), F.col(label).cast("int").alias("label")
+            )
+            for name in eligible
+        }
+        models, scores = _fit_each(frames, id_col, fit, threads)
     if scores is None:
         return {}, counts.withColumn("AUC", F.lit(None).cast("double"))
     aucs = _scores_table(scores).select(F.col("name").alias("Cohort"), "AUC")
