@@ -15,6 +15,7 @@ from cohortspark.plans import labeling as L
 from cohortspark.session import scratch_path
 from cohortspark.sources import checkpoints as K
 from cohortspark.sources import delimited as S
+from cohortspark.sources.incremental import refresh
 
 
 @query(
@@ -115,3 +116,37 @@ def materialize_once(spark, sf):
         raise RuntimeError("a complete table was built again")
 
     return K.materialize(spark, path, never)
+
+
+@query(
+    "refresh_changed",
+    """WITH d AS (SELECT coalesce(doc_id, 0) % 4 AS part, text FROM documents),
+    n AS (SELECT count(*) AS n, count(*) FILTER (WHERE part <> 1) AS fewer FROM d WHERE text IS NOT NULL)
+    SELECT unnest(['built', 'unchanged', 'file replaced', 'parameter changed']) AS step, unnest([4, 0, 1, 4])::INTEGER AS rebuilt,
+      unnest([0, 4, 3, 0])::INTEGER AS kept, unnest([0, 0, 1, 0])::INTEGER AS removed, unnest([n, n, fewer, fewer]) AS n_rows FROM n""",
+)
+def refresh_changed(spark, sf):
+    """Word counts of documents kept up to date with their files: one file is emptied, then a parameter changes."""
+    docs = W.table(spark, sf, "documents").select((F.coalesce("doc_id", F.lit(0)) % 4).alias("part"), "doc_id", "text")
+    folder, path = scratch_path(spark, "inputs"), scratch_path(spark, "refreshed")
+
+    def write(part, rows):
+        rows.drop("part").coalesce(1).write.mode("overwrite").parquet(f"{folder}/part{part}")
+
+    def build(rows):
+        return rows.where("text IS NOT NULL").select("doc_id", F.size(F.split("text", " ")).alias("n_words"), "source")
+
+    for part in range(4):
+        write(part, docs.where(F.col("part") == part))
+    steps = []
+
+    def step(name, width):
+        run = refresh(spark, folder, path, build, "1", {"width": width})
+        steps.append((name, run.rebuilt, run.kept, run.removed, run.table.count()))
+
+    step("built", 1)
+    step("unchanged", 1)
+    write(1, docs.where("false"))
+    step("file replaced", 1)
+    step("parameter changed", 2)
+    return spark.createDataFrame(steps, "step string, rebuilt int, kept int, removed int, n_rows bigint")
