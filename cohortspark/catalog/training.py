@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from cohortspark.operators import metrics as M
 from cohortspark.operators import splits as S
 from cohortspark.operators import tfidf as TI
 from cohortspark.operators import training as T
+from cohortspark.operators.linear import Minimum
 from cohortspark.plans import scoring as SC
 from cohortspark.session import scratch_path, stored
 from cohortspark.sources import checkpoints as K
@@ -104,6 +106,33 @@ def score_all(spark, sf):
     return scored.select("vec_id", "label", F.col("probability").between(0.0, 1.0).alias("in_range"))
 
 
+def _fixed_coefficients(dim):
+    return [((7 * j) % 11 - 5) / 10 for j in range(dim)]
+
+
+_DECISION = "list_inner_product(embedding::DOUBLE[], [" + ", ".join(map(repr, _fixed_coefficients(64))) + "]::DOUBLE[]) + 0.1"
+
+
+@query(
+    "score_fixed_models",
+    with_views(
+        f"""WITH d AS (SELECT vec_id, label, {_DECISION} AS f FROM v_vectors),
+        p AS (SELECT vec_id, label, 1 / (1 + exp(-f)) AS logistic, (greatest(least(f, 1.0), -1.0) + 1) / 2 AS huber FROM d)
+        SELECT vec_id, label, round(logistic, 9) AS logistic, round(huber, 9) AS huber, (logistic > 0.5)::INTEGER AS hard_logistic,
+          (huber > 0.5)::INTEGER AS hard_huber FROM p"""
+    ),
+)
+def score_fixed_models(spark, sf):
+    """Probabilities and hard predictions of both linear classifiers with given coefficients, for every row."""
+    data = W.vectors(spark, sf).select("vec_id", "label", "features")
+    given = Minimum(np.array(_fixed_coefficients(64)), 0.1, 0.0, 0, True)
+    for loss in ("logistic", "huber"):
+        data = T.score_all(T.LinearFit(loss).model(given), data.withColumn("_features", F.col("features")), "features").withColumnsRenamed(
+            {"probability": loss, "prediction": f"hard_{loss}", "_features": "features"}
+        )
+    return data.drop("features").withColumns({loss: F.round(loss, 9) for loss in ("logistic", "huber")})
+
+
 @query("cv_auc")
 def cv_auc(spark, sf):
     train, _ = _sides(_split_vectors(spark, sf))
