@@ -13,6 +13,7 @@ from cohortspark.functions import text as X
 from cohortspark.functions import values as V
 from cohortspark.operators import metrics as M
 from cohortspark.operators.dedup import ranked_limit, topk_per_group
+from cohortspark.session import stored
 
 STATUS_RANK = {status: i for i, status in enumerate(C.STATUS_ORDER)}
 
@@ -84,6 +85,7 @@ def cohort_report(predictions: DataFrame, min_size: int = C.MIN_COHORT_SIZE) ->
         "Confidence_Score",
         (F.col("Confidence_Score") >= 0.5).cast("int").alias("_hard"),
     )
+    scored = stored(scored, "cohort-scores")  # four narrow columns; both metrics read them, labels are made once
     confusion = M.precision_recall_f1(M.confusion_matrix(scored, "True_Label", "_hard", by=["Cancer_Type"]))
     # four-digit scores: a cohort has at most 10,001 distinct ones, so no cut is needed
     aucs = M.auc(scored, "True_Label", "Confidence_Score", by=["Cancer_Type"], cuts=[])
