@@ -160,13 +160,16 @@ def worst_misses(spark, sf):
           {{'section': 'CLINICAL IMPACT', 'ord': 12, 'metric': 'Identified percentage', 'value': tp * 100.0::DOUBLE / benefit}},
           {{'section': 'CLINICAL IMPACT', 'ord': 13, 'metric': 'Patients missed', 'value': fn::DOUBLE}},
           {{'section': 'CLINICAL IMPACT', 'ord': 14, 'metric': 'Unnecessary referrals', 'value': fp::DOUBLE}},
-          {{'section': 'CLINICAL IMPACT', 'ord': 15, 'metric': 'Low-confidence predictions', 'value': low::DOUBLE}}], recursive := true) FROM one)
-        SELECT section, ord::INTEGER AS ord, metric, round_even(value, 4) AS value FROM figures
+          {{'section': 'CLINICAL IMPACT', 'ord': 15, 'metric': 'Low-confidence predictions', 'value': low::DOUBLE}},
+          {{'section': 'COHORT OVERVIEW', 'ord': 16, 'metric': 'Percentage without targetable muts', 'value': (total - benefit) * 100.0::DOUBLE / total}},
+          {{'section': 'MODEL PERFORMANCE', 'ord': 17, 'metric': 'Model type', 'value': NULL::DOUBLE}}], recursive := true) FROM one)
+        SELECT section, ord::INTEGER AS ord, metric, round_even(value, 4) AS value,
+          CASE WHEN metric = 'Model type' THEN 'LogisticRegressionModel' END AS detail FROM figures
         UNION ALL SELECT 'TOP 5 MOST ACTIONABLE GENES IN COHORT', row_number() OVER (ORDER BY N_Patients_Mutated DESC, Gene)::INTEGER,
-          Gene || ' -> ' || Recommended_Drug, N_Patients_Mutated::DOUBLE FROM (SELECT * FROM genes ORDER BY N_Patients_Mutated DESC, Gene LIMIT 5)
-        UNION ALL SELECT 'TARGETABLE MUTATION PREVALENCE BY CANCER TYPE', rank, Cancer_Type, Targetable_Rate FROM top"""
+          Gene || ' -> ' || Recommended_Drug, N_Patients_Mutated::DOUBLE, printf('%.2f%%', Pct_of_Cohort) FROM (SELECT * FROM genes ORDER BY N_Patients_Mutated DESC, Gene LIMIT 5)
+        UNION ALL SELECT 'TARGETABLE MUTATION PREVALENCE BY CANCER TYPE', rank, Cancer_Type, Targetable_Rate, 'n=' || N_Patients FROM top"""
     ),
 )
 def clinical_summary(spark, sf):
     labels, predictions = W.labels(spark, sf), _predictions(spark, sf)
-    return R.clinical_summary(predictions, labels, R.gene_report(labels, W.DRUGS), R.cohort_report(predictions))
+    return R.clinical_summary(predictions, labels, R.gene_report(labels, W.DRUGS), R.cohort_report(predictions), "LogisticRegressionModel")

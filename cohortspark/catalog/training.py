@@ -10,13 +10,14 @@ from cohortspark import constants as C
 from cohortspark.catalog import views as W
 from cohortspark.catalog.metrics import gene_flags
 from cohortspark.catalog.registry import query
-from cohortspark.catalog.views import with_views
+from cohortspark.catalog.views import quoted, sql_words, with_views
 from cohortspark.operators import embedding as E
 from cohortspark.operators import metrics as M
 from cohortspark.operators import splits as S
 from cohortspark.operators import tfidf as TI
 from cohortspark.operators import training as T
 from cohortspark.operators.linear import Minimum
+from cohortspark.plans import comparison as CO
 from cohortspark.plans import scoring as SC
 from cohortspark.session import scratch_path, stored
 from cohortspark.sources import checkpoints as K
@@ -239,3 +240,90 @@ def gene_probabilities(spark, sf):
     vectors = E.embed(W.clean_documents(spark, sf), "doc_id", "clean_text", E.HashedTokens(64))
     features = vectors.select("doc_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     return SC.likely_genes(SC.gene_probabilities(features, bundle.gene_models, "doc_id"), "doc_id")
+
+
+#: Genes of the given bundle, more than a report may name.
+GIVEN_GENES = ("ALK", "BRAF", "EGFR", "KRAS", "MET", "PIK3CA", "ROS1")
+
+
+def _given_model(loss, number, dim=16):
+    """A linear model whose coefficients follow from its number, so that SQL can apply it as well."""
+    weights = np.array([((7 * j + 3 * number) % 11 - 5) * 3.0 for j in range(dim)])
+    return T.LinearFit(loss).model(Minimum(weights, (number % 3 - 1) * 0.25, 0.0, 0, True))
+
+
+def _given_decision(number):
+    model = _given_model("huber", number)
+    return " + ".join([f"x[{j + 1}] * ({w})::DOUBLE" for j, w in enumerate(model.coefficients.tolist())]) + f" + ({model.intercept})::DOUBLE"
+
+
+_GIVEN_PAIRS = ", ".join(
+    f"{{'gene': '{gene}', 'p': 1 / (1 + exp(-({_given_decision(i + 1)})))}}" for i, gene in enumerate(GIVEN_GENES)
+)
+
+
+@query(
+    "score_reports_given",
+    f"""WITH clean AS (SELECT doc_id, {W.sql_clean('text')} AS clean_text FROM documents),
+    toks AS (SELECT doc_id, unnest({sql_words('clean_text')}) AS word FROM clean),
+    bytes AS (SELECT doc_id, i, ('0x' || substr(md5(word), (2 * i + 1)::INTEGER, 2))::INTEGER AS b FROM toks, range(16) r(i)),
+    means AS (SELECT doc_id, i, (sum(b)::DOUBLE / count(*) / 127.5::DOUBLE - 1)::FLOAT::DOUBLE AS m FROM bytes GROUP BY doc_id, i),
+    vectors AS (SELECT doc_id, list(m ORDER BY i) AS x FROM means GROUP BY doc_id),
+    v AS (SELECT doc_id, coalesce(x, list_transform(range(16), lambda i: 0::DOUBLE)) AS x FROM documents LEFT JOIN vectors USING (doc_id)),
+    s AS (SELECT doc_id, (greatest(least({_given_decision(0)}, 1.0::DOUBLE), -1.0::DOUBLE) + 1) / 2 AS p, [{_GIVEN_PAIRS}] AS genes FROM v),
+    g AS (SELECT doc_id, gene.gene AS gene, round_even(gene.p, 3) AS p FROM (SELECT doc_id, unnest(genes) AS gene FROM s)
+      WHERE gene.p >= {C.GENE_PROBABILITY_MIN}::DOUBLE),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, gene) AS rn FROM g),
+    likely AS (SELECT doc_id, string_agg(printf('%s(%.3f)', gene, p), ', ' ORDER BY rn) AS top FROM ranked WHERE rn <= {C.GENE_TOP_K} GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN p >= 0.5 THEN {quoted(C.PREDICTED_POSITIVE)} ELSE {quoted(C.PREDICTED_NEGATIVE)} END AS predicted_class,
+      round_even(p, 4) AS confidence, coalesce(top, '') AS top_likely_genes,
+      CASE WHEN p >= 0.5 THEN {quoted(C.FOLLOW_UP[C.TARGETABLE])} ELSE {quoted(C.FOLLOW_UP[C.NON_TARGETABLE])} END
+        || CASE WHEN p BETWEEN 0.4::DOUBLE AND 0.6::DOUBLE THEN {quoted(C.LOW_CONFIDENCE_NOTE)} ELSE '' END AS follow_up,
+      'hashed-tokens-16' AS model_used
+    FROM s LEFT JOIN likely USING (doc_id)""",
+)
+def score_reports_given(spark, sf):
+    """Every document cleaned, embedded and scored with a bundle of given coefficients that was saved and loaded.
+
+    The classifier is a Huber model and the genes are logistic ones, so both kinds of linear model go through the files.
+    """
+    encoder = E.HashedTokens(16)
+    genes = {gene: _given_model("logistic", i + 1) for i, gene in enumerate(GIVEN_GENES)}
+    path = scratch_path(spark, "bundle")
+    K.Bundle(_given_model("huber", 0), genes, 16, encoder.name).save(spark, path)
+    docs = W.spread(W.table(spark, sf, "documents").select("doc_id", "text"))
+    scored = SC.score_reports(docs, "doc_id", "text", K.load_bundle(spark, path), encoder)
+    shown = F.transform("top_likely_genes", lambda g: F.format_string("%s(%.3f)", g["gene"], g["probability"]))
+    return scored.withColumn("top_likely_genes", F.array_join(shown, ", "))
+
+
+def _labelled_dense(spark, sf):
+    """Labelled documents as dense vectors."""
+    labels = W.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    docs = W.stored_clean_documents(spark, sf).join(labels.select("doc_id"), "doc_id", "left_semi")
+    embedded = E.embed(docs, "doc_id", "clean_text", E.HashedTokens(64))
+    vector = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    return embedded.select("doc_id", vector).join(labels, "doc_id").select("doc_id", "label", "features")
+
+
+def _on_split(data, name):
+    """Stored, with a split that follows from id and label, so that all feature sets share it."""
+    return stored(S.stratified_split(data.select("doc_id", "label", "features"), "doc_id", "label"), name)
+
+
+@query("compare_feature_sets")
+def compare_feature_sets(spark, sf):
+    """Every model on both feature sets, the difference, and the winners of both averaged."""
+    sets = {"TF-IDF": _labelled_tfidf(spark, sf)[1], "Dense": _labelled_dense(spark, sf)}
+    return CO.compare({name: _on_split(data, name.lower()) for name, data in sets.items()}, "doc_id").summary()
+
+
+@query("score_with_winner")
+def score_with_winner(spark, sf):
+    """The best model on dense vectors, of whatever kind, saved in a bundle, loaded, and used on every document."""
+    side = CO.train_side("Dense", _on_split(_labelled_dense(spark, sf), "dense"), "doc_id", T.default_models())
+    path = scratch_path(spark, "bundle")
+    K.Bundle(side.model, {}, 64, E.HashedTokens(64).name).save(spark, path)
+    docs = W.spread(W.table(spark, sf, "documents").select("doc_id", "text"))
+    scored = SC.score_reports(docs, "doc_id", "text", K.load_bundle(spark, path), E.HashedTokens(64))
+    return scored.select("doc_id", F.lit(side.best).alias("best_model"), "predicted_class", "confidence", "follow_up", "model_used")

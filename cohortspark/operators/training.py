@@ -237,19 +237,20 @@ def cv_summary(per_fold: DataFrame) -> DataFrame:
     ).withColumn("CV_AUC", V.mean_std_text(F.col("CV_AUC_mean"), F.col("CV_AUC_std")))
 
 
-def model_results(
-    train: DataFrame, test: DataFrame, id_col: str, models: Mapping[str, Fit], label: str = "label", k: int = C.CV_FOLDS
-) -> DataFrame:
-    """One row per model: train, test and cross-validated AUC, F1, precision and recall on the test part."""
-    fitted = fit_models(train, models)
+def model_scores(fitted: Mapping[str, object], train: DataFrame, test: DataFrame, label: str = "label", keep: Sequence[str] = ()) -> DataFrame:
+    """(Model, side, *keep, label, probability, prediction) of every fitted model on both sides of a split, stored."""
     parts = [
         score_all(model, part).select(
-            F.lit(name).alias("Model"), F.lit(side).alias("side"), label, "probability", "prediction"
+            F.lit(name).alias("Model"), F.lit(side).alias("side"), *keep, label, "probability", "prediction"
         )
         for name, model in fitted.items()
         for side, part in (("train", train), ("test", test))
     ]
-    scores = stored(union_all(parts), "model-scores")
+    return stored(union_all(parts), "model-scores")
+
+
+def split_results(scores: DataFrame, label: str = "label") -> DataFrame:
+    """One row per model of `model_scores`: train and test AUC, F1, precision and recall on the test part."""
     aucs = M.auc(scores, label, "probability", by=["Model", "side"])
     wide = aucs.groupBy("Model").agg(
         *[
@@ -264,8 +265,15 @@ def model_results(
         V.round_even(F.col("precision"), 4).alias("Precision"),
         V.round_even(F.col("recall"), 4).alias("Recall"),
     )
-    cv = cv_auc(train, id_col, models, label, k)
-    return wide.join(cv, "Model").join(rates, "Model").select(
+    return wide.join(rates, "Model")
+
+
+def model_results(
+    train: DataFrame, test: DataFrame, id_col: str, models: Mapping[str, Fit], label: str = "label", k: int = C.CV_FOLDS
+) -> DataFrame:
+    """One row per model: train, test and cross-validated AUC, F1, precision and recall on the test part."""
+    results = split_results(model_scores(fit_models(train, models), train, test, label), label)
+    return results.join(cv_auc(train, id_col, models, label, k), "Model").select(
         "Model", "Train_AUC", "Test_AUC", "CV_AUC_mean", "CV_AUC_std", "F1_Targetable", "Precision", "Recall", "CV_AUC"
     )
 

@@ -141,10 +141,13 @@ def worst_misses(errors: DataFrame, k: int = 5) -> DataFrame:
     return ranked_limit(missed, [F.col("Confidence_Score").asc_nulls_last(), F.col("Patient_ID")], k)
 
 
-def clinical_summary(predictions: DataFrame, labels: DataFrame, genes: DataFrame, cohorts: DataFrame) -> DataFrame:
-    """(section, ord, metric, value): the figures of the summary report.
+def clinical_summary(
+    predictions: DataFrame, labels: DataFrame, genes: DataFrame, cohorts: DataFrame, model_type: str | None = None
+) -> DataFrame:
+    """(section, ord, metric, value, detail): the figures of the summary report.
 
-    `predictions` has probability, confidence and prediction; `labels` arrays or flat.
+    `predictions` has probability, confidence and prediction; `labels` arrays or flat. `detail` is what
+    stands beside a figure: the kind of the model, the share of patients of a gene, the size of a cohort.
     """
     overview = labels.agg(
         F.count(F.lit(1)).alias("total"),
@@ -174,6 +177,8 @@ def clinical_summary(predictions: DataFrame, labels: DataFrame, genes: DataFrame
         ("CLINICAL IMPACT", "Patients missed", F.col("fn")),
         ("CLINICAL IMPACT", "Unnecessary referrals", F.col("fp")),
         ("CLINICAL IMPACT", "Low-confidence predictions", F.col("low_confidence")),
+        ("COHORT OVERVIEW", "Percentage without targetable muts", V.percent(F.col("total") - F.col("benefit"), F.col("total"))),
+        ("MODEL PERFORMANCE", "Model type", F.lit(None)),
     ]
     rows = [
         F.struct(
@@ -181,20 +186,24 @@ def clinical_summary(predictions: DataFrame, labels: DataFrame, genes: DataFrame
             F.lit(i).alias("ord"),
             F.lit(metric).alias("metric"),
             V.round_even(value.cast("double"), 4).alias("value"),
+            F.lit(model_type if metric == "Model type" else None).cast("string").alias("detail"),
         )
         for i, (section, metric, value) in enumerate(figures)
     ]
+    share = F.format_string("%.2f%%", "Pct_of_Cohort") if "Pct_of_Cohort" in genes.columns else F.lit(None).cast("string")
     top_genes = ranked_limit(genes, [F.col("N_Patients_Mutated").desc(), F.col("Gene")], 5).select(
         F.lit("TOP 5 MOST ACTIONABLE GENES IN COHORT").alias("section"),
         F.col("rank").alias("ord"),
         F.concat_ws(" -> ", "Gene", "Recommended_Drug").alias("metric"),
         F.col("N_Patients_Mutated").cast("double").alias("value"),
+        share.alias("detail"),
     )
     top_cohorts = top_prevalence(cohorts).select(
         F.lit("TARGETABLE MUTATION PREVALENCE BY CANCER TYPE").alias("section"),
         F.col("rank").alias("ord"),
         F.col("Cancer_Type").alias("metric"),
         F.col("Targetable_Rate").alias("value"),
+        F.format_string("n=%d", "N_Patients").alias("detail"),
     )
     return one.select(F.inline(F.array(*rows))).unionAll(top_genes).unionAll(top_cohorts)
 
@@ -212,10 +221,11 @@ SECTIONS = (
 def summary_lines(summary: DataFrame) -> DataFrame:
     """The summary as lines of text in the order of its sections, for `sources.delimited.write_lines`."""
     place = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
-    shown = F.when(F.col("value") == F.floor("value"), F.format_string("%.0f", "value")).otherwise(
-        F.format_string("%.4f", "value")
+    shown = F.when(F.col("value") == F.floor("value"), F.format_string("%.0f", "value")).when(
+        F.col("value").isNotNull(), F.format_string("%.4f", "value")
     )
+    both = F.concat(shown, F.lit(" ("), F.col("detail"), F.lit(")"))
     return summary.select(
         (place * 10_000 + F.col("ord")).alias("ord"),
-        F.concat(F.col("section"), F.lit(" | "), F.col("metric"), F.lit(": "), F.coalesce(shown, F.lit("N/A"))).alias("line"),
+        F.concat(F.col("section"), F.lit(" | "), F.col("metric"), F.lit(": "), F.coalesce(both, shown, F.col("detail"), F.lit("N/A"))).alias("line"),
     )

@@ -70,3 +70,19 @@ def test_summary_as_text(spark):
     assert "COHORT OVERVIEW | Total patients processed: 4" in lines
     assert "MODEL PERFORMANCE | Sensitivity: 0.5000" in lines
     assert "TOP 5 MOST ACTIONABLE GENES IN COHORT | KRAS -> Sotorasib: 2" in lines
+
+
+def test_summary_names_the_model_and_what_stands_beside_figures(spark):
+    predictions, labels = tables(spark)
+    predictions = predictions.withColumn("Probability", predictions.Confidence_Score)
+    schema = "Gene string, N_Patients_Mutated long, Pct_of_Cohort double, Recommended_Drug string"
+    genes = spark.createDataFrame([("KRAS", 2, 12.25, "Sotorasib")], schema)
+    cohorts = spark.createDataFrame([("TCGA-AA", 25, 40.0), ("TCGA-BB", 19, 90.0)], "Cancer_Type string, N_Patients long, Targetable_Rate double")
+    summary = R.clinical_summary(predictions, labels, genes, cohorts, "ModifiedHuberModel")
+    lines = [r.line for r in R.summary_lines(summary).orderBy("ord").collect()]
+    assert "MODEL PERFORMANCE | Model type: ModifiedHuberModel" in lines
+    assert "TOP 5 MOST ACTIONABLE GENES IN COHORT | KRAS -> Sotorasib: 2 (12.25%)" in lines
+    assert "TARGETABLE MUTATION PREVALENCE BY CANCER TYPE | TCGA-AA: 40 (n=25)" in lines
+    assert not any("TCGA-BB" in line for line in lines)
+    shares = [r.value for r in summary.where("metric IN ('Targetable percentage', 'Percentage without targetable muts')").collect()]
+    assert sum(shares) == 100.0
