@@ -29,7 +29,6 @@ ROWS_PER_CLASS = 5000
 #: A term occurs in so many toxic documents of the sample, and so much more often (log odds) than in others.
 MIN_DOCUMENTS = 4
 MIN_LOG_ODDS = 3.0
-MAX_TERMS = 5000
 #: Lengths of word beginnings that may be terms. A beginning stands for at least so many different words.
 STEMS = range(4, 9)
 MIN_WORDS = 4
@@ -246,16 +245,23 @@ def learn_lexicon(sample: DataFrame) -> Trie:
         .withColumn("kind", F.lit(1))
     )
     strong = strong.join(behind, ["kind", "term"], "left").where("kind = 0 OR words IS NOT NULL")
-    rows = strong.orderBy(F.desc(F.col("toxic") * odds), "kind", "term").limit(MAX_TERMS).collect()
+    rows = sorted(strong.collect(), key=lambda r: (r["kind"], r["term"]))  # bounded by the words of the sample
     found = {(r["kind"], r["term"]): _log_odds(r["toxic"], r["clean"], n_toxic, n_clean) for r in rows}
+    toxic = {(r["kind"], r["term"]): r["toxic"] for r in rows}
+    most: dict[str, int] = {}  # of the terms with a beginning, the documents of the most frequent one
+    for (kind, term), n in toxic.items():
+        for size in STEMS if kind == 0 else ():
+            most[term[:size]] = max(n, most.get(term[:size], 0))
     stems: dict[str, float] = {}
+
+    def covered(term: str) -> bool:
+        return any(term[:size] in stems for size in STEMS)
+
     for kind, stem in sorted(found, key=lambda k: (len(k[1]), k[1])):
         # the shortest of nested beginnings counts; one that only cuts a frequent term short does not
-        most = max((r["toxic"] for r in rows if r["kind"] == 0 and r["term"].startswith(stem)), default=0) if kind else 0
-        of_stem = next((r["toxic"] for r in rows if (r["kind"], r["term"]) == (kind, stem)), 0)
-        if kind and most < 0.8 * of_stem and not any(stem.startswith(s) for s in stems):
+        if kind and most.get(stem, 0) < 0.8 * toxic[kind, stem] and not covered(stem):
             stems[stem] = found[kind, stem]
-    terms = {t: w for (kind, t), w in found.items() if not kind and not any(t.startswith(s) for s in stems)}
+    terms = {t: w for (kind, t), w in found.items() if not kind and not covered(t)}
     return Trie(terms, stems)
 
 

@@ -326,3 +326,11 @@ def test_the_host_overrules_a_page_whose_own_best_container_is_wrong(spark):
     rows.append((9, "http://h.org/9", page(f"short {PROSE}", PROSE * 5)))
     found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert best_path(parse(rows[-1][2])).endswith("div.extra") and found[9] == f"short {PROSE}"
+
+
+def test_lexicon_takes_every_term(spark):
+    rng = random.Random(3)
+    terms = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(6000)})
+    rows = [(" ".join(terms), 1)] * 4 + [(f"plain words {i}", 0) for i in range(60)]
+    sample = spark.createDataFrame(rows, "text string, toxic int").repartition(4)
+    assert set(toxicity.learn_lexicon(sample).terms) == set(terms)
