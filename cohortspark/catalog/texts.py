@@ -11,8 +11,10 @@ from cohortspark.catalog.views import sql_clean, sql_clean_min, sql_words, with_
 from cohortspark.functions import text as X
 from cohortspark.operators import aggregates as A
 from cohortspark.operators import embedding as E
+from cohortspark.operators import latent as LA
 from cohortspark.operators import tfidf as TI
 from cohortspark.plans.text_dataset import build_text_dataset
+from cohortspark.session import stored
 
 
 def r6(col):
@@ -248,3 +250,74 @@ def masked_mean_pool(spark, sf):
 def l2_normalize(spark, sf):
     unit = W.table(spark, sf, "embeddings").select("vec_id", E.l2_normalize(F.col("embedding")).alias("unit"))
     return unit.select("vec_id", F.posexplode("unit").alias("dim", "x")).withColumn("x", r6(F.col("x")))
+
+
+def _latent(spark, sf):
+    """The cleaned documents, stored, their TF-IDF model, and the encoder fitted on both."""
+    docs = W.stored_clean_documents(spark, sf)
+    model = TI.fit_tfidf(docs, "clean_text")
+    return docs, model, *LA.fit_latent_encoder(docs, "clean_text", model)
+
+
+@query(
+    "latent_components",
+    with_views(
+        """SELECT unnest(range(8))::INTEGER AS component, true AS singular, true AS orthogonal,
+          (SELECT count(*) FROM v_vocab) AS n_terms, (SELECT count(DISTINCT doc_id) FROM v_weights) AS n_docs"""
+    ),
+)
+def latent_components(spark, sf):
+    """Whether the leading eight components are singular vectors of the TF-IDF matrix, from its long form and by joins.
+
+    A component v of value s is one if multiplying the matrix and its transpose gives s^2 v back.
+    """
+    docs, model, encoder, found = _latent(spark, sf)
+    rows = [(i, row[:8]) for i, row in enumerate(encoder.components.tolist())]
+    parts = spark.createDataFrame(rows, "term_idx int, v array<double>")
+    cells = stored(model.weights(docs, "doc_id", "clean_text"), "weights")
+    sums = F.array(*[F.sum(F.col("weight") * F.col("v")[k]) for k in range(8)])
+    placed = cells.join(parts, "term_idx").groupBy("doc_id").agg(sums.alias("u"))
+    back = cells.join(placed, "doc_id").groupBy("term_idx").agg(F.array(*[F.sum(F.col("weight") * F.col("u")[k]) for k in range(8)]).alias("back"))
+    both = parts.join(back, "term_idx", "left")  # as many rows as the vocabulary has terms
+    squares = (found.values[:8] ** 2).tolist()
+    gaps = [F.sum(F.pow(F.coalesce(F.col("back")[k], F.lit(0.0)) - squares[k] * F.col("v")[k], F.lit(2.0))) for k in range(8)]
+    dots = [F.array(*[F.sum(F.col("v")[j] * F.col("v")[k]) for j in range(8)]) for k in range(8)]
+    checked = both.agg(F.count(F.lit(1)).alias("n_terms"), F.array(*gaps).alias("gaps"), F.array(*dots).alias("dots"))
+    long = checked.select("n_terms", F.posexplode(F.arrays_zip("gaps", "dots")).alias("component", "at"))
+    unit = F.transform("at.dots", lambda x, j: F.abs(x - (j == F.col("component")).cast("double")) < 1e-9)
+    counted = placed.agg(F.count(F.lit(1)).alias("n_docs"))
+    return long.crossJoin(F.broadcast(counted)).select(
+        "component",
+        (F.sqrt(F.col("at.gaps")) < 1e-4 * squares[0]).alias("singular"),
+        F.forall(unit, lambda x: x).alias("orthogonal"),
+        "n_terms",
+        "n_docs",
+    )
+
+
+@query(
+    "embed_with_fallback",
+    with_views(
+        """SELECT doc_id, 'latent' AS encoder, 64::INTEGER AS dim, doc_id IN (SELECT doc_id FROM v_weights) AS placed, true AS within
+        FROM documents"""
+    ),
+)
+def embed_with_fallback(spark, sf):
+    """Vectors of the second candidate, learned from the documents, where the first has no model files.
+
+    Unit TF-IDF rows are projected on orthogonal directions, so no vector is longer than 1.
+    """
+    docs, _, encoder, _ = _latent(spark, sf)
+
+    def network():
+        raise FileNotFoundError("no model files on this machine")
+
+    vectors = E.embed_with(docs, "doc_id", "clean_text", [("network", network), (encoder.name, encoder)])
+    squared = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    return vectors.select(
+        "doc_id",
+        F.substring_index("model_used", "-", 1).alias("encoder"),
+        F.size("embedding").alias("dim"),
+        (squared > 0).alias("placed"),
+        (squared <= 1 + 1e-6).alias("within"),
+    )
