@@ -50,7 +50,9 @@ def pid(key: str | Column) -> Column:
     key = F.col(key) if isinstance(key, str) else key
 
     def base36(number: Column, width: int) -> Column:
-        return F.lpad(F.conv(number.cast("string"), 10, 36), width, "0")
+        # lpad would cut longer numbers, and with them make one patient of several
+        digits = F.conv(number.cast("string"), 10, 36)
+        return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
 
     return F.concat(F.lit("TCGA-"), base36(key % 40, 2), F.lit("-"), base36(key, 4))
 

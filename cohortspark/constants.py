@@ -127,6 +127,7 @@ SEED = 42
 ID_LENGTH = 12
 COHORT_LENGTH = 7
 ID_CAPTURE = r"(TCGA-[A-Z0-9]+-[A-Z0-9]+)"
+ID_IN_BARCODE = r"^(TCGA-[A-Z0-9]{2}-[A-Z0-9]{4,})-"
 ID_FORMAT = r"TCGA-[A-Z0-9]{2}-[A-Z0-9]{4}"
 
 # --- Fixed values: abbreviation (whole word, lower case) to expansion --------

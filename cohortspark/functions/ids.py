@@ -13,6 +13,15 @@ def patient_id_prefix(col: Column, length: int = C.ID_LENGTH) -> Column:
     return F.substring(col, 1, length)
 
 
+def patient_id_barcode(col: Column) -> Column:
+    """Identifier at the start of a sample barcode, up to the dash behind the participant.
+
+    Participants beyond four characters keep them all; what is no such barcode gives its first characters.
+    """
+    whole = F.nullif(F.regexp_extract(col, C.ID_IN_BARCODE, 1), F.lit(""))
+    return F.coalesce(whole, patient_id_prefix(col))
+
+
 def patient_id_extract(col: Column) -> Column:
     """Identifier by pattern, wherever it stands in the value; NULL without a match."""
     return F.nullif(F.regexp_extract(col, C.ID_CAPTURE, 1), F.lit(""))

@@ -16,7 +16,7 @@ def with_mutation_patient(mutations: DataFrame) -> DataFrame:
     return mutations.where(F.col("Tumor_Sample_Barcode").isNotNull()).select(
         "Hugo_Symbol",
         "Variant_Classification",
-        I.patient_id_prefix(F.col("Tumor_Sample_Barcode")).alias("Patient_ID"),
+        I.patient_id_barcode(F.col("Tumor_Sample_Barcode")).alias("Patient_ID"),
     )
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
+from cohortspark.catalog import views as W
 from cohortspark.functions import ids as I
 from cohortspark.functions import values as V
 from cohortspark.operators import aggregates as A
@@ -28,6 +29,16 @@ def test_identifiers(spark):
     assert spark.createDataFrame([("TCGA-BH-A0B1\n",)], "v string").select(I.is_valid_id(F.col("v"))).first()[0]
 
 
+def test_long_participants_stay_apart(spark):
+    barcodes = ["TCGA-BH-A0B1-01A", "TCGA-BH-A0B12-01A", "TCGA-BH-A0B13-01A", "TCGA-BH-A0B1", "report7 without id", None]
+    rows_ = spark.createDataFrame([(b, "G", "V") for b in barcodes], "Tumor_Sample_Barcode string, Hugo_Symbol string, Variant_Classification string")
+    got = sorted(r.Patient_ID for r in AL.with_mutation_patient(rows_).collect())
+    assert got == ["TCGA-BH-A0B1", "TCGA-BH-A0B1", "TCGA-BH-A0B12", "TCGA-BH-A0B13", "report7 with"]
+    keys = [0, 36**4 - 1, 36**4, 36**4 + 36, 9_000_000]
+    made = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select("k", W.pid("k").alias("p")).orderBy("k").select("p").collect()]
+    assert made == ["TCGA-00-0000", "TCGA-0F-ZZZZ", "TCGA-0G-10000", "TCGA-0C-10010", "TCGA-00-5CWG0"]
+
+
 MUTATIONS = [
     ("A", "KRAS", "Missense_Mutation"),
     ("A", "KRAS", "Nonsense_Mutation"),
