@@ -25,6 +25,8 @@ from cohortspark import constants as C
 WORD = "[\\p{L}\\p{N}_\U00010400]"
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 DIGIT = r"\p{Nd}"
+# [^a-z0-9.\-] as the ranges between these characters: Java tests a negated class about ten times as slowly
+DROPPED = r"[\x{0}-,/:-`{-\x{10ffff}]"
 
 
 def boilerplate_regex(pattern: str) -> str:
@@ -53,7 +55,7 @@ def _lower(col: Column) -> Column:
 
 def _squash(col: Column) -> Column:
     # one class covers both "other characters become a space" and "spaces collapse"
-    return F.trim(F.regexp_replace(col, r"[^a-z0-9.\-]+", " "))
+    return F.trim(F.regexp_replace(col, f"{DROPPED}+", " "))
 
 
 def clean_text_min(col: Column) -> Column:
