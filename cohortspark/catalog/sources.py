@@ -126,12 +126,15 @@ def materialize_once(spark, sf):
       unnest([0, 4, 3, 0])::INTEGER AS kept, unnest([0, 0, 1, 0])::INTEGER AS removed, unnest([n, n, fewer, fewer]) AS n_rows FROM n""",
 )
 def refresh_changed(spark, sf):
-    """Word counts of documents kept up to date with their files: one file is emptied, then a parameter changes."""
-    docs = W.table(spark, sf, "documents").select((F.coalesce("doc_id", F.lit(0)) % 4).alias("part"), "doc_id", "text")
+    """Word counts of documents kept up to date with their files: those of one part are replaced by an empty one, then a parameter changes.
+
+    A part has as many files as tasks write it; counted are the parts whose files were built, kept or removed.
+    """
+    docs = W.spread(W.table(spark, sf, "documents")).select((F.coalesce("doc_id", F.lit(0)) % 4).alias("part"), "doc_id", "text")
     folder, path = scratch_path(spark, "inputs"), scratch_path(spark, "refreshed")
 
     def write(part, rows):
-        rows.drop("part").coalesce(1).write.mode("overwrite").parquet(f"{folder}/part{part}")
+        rows.drop("part").write.mode("overwrite").parquet(f"{folder}/part{part}")
 
     def build(rows):
         return rows.where("text IS NOT NULL").select("doc_id", F.size(F.split("text", " ")).alias("n_words"), "source")
@@ -142,7 +145,8 @@ def refresh_changed(spark, sf):
 
     def step(name, width):
         run = refresh(spark, folder, path, build, "1", {"width": width})
-        steps.append((name, run.rebuilt, run.kept, run.removed, run.table.count()))
+        parts = [len({path.rsplit("/", 2)[1] for path in paths}) for paths in (run.rebuilt_paths, run.kept_paths, run.removed_paths)]
+        steps.append((name, *parts, run.table.count()))
 
     step("built", 1)
     step("unchanged", 1)

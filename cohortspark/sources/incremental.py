@@ -25,10 +25,15 @@ _ENTRY = "source string, path string, length bigint, modified timestamp, build s
 
 @dataclass(frozen=True)
 class Refreshed:
+    """The table, and how many input files were built, left as they were, and are gone; which, by their paths."""
+
     table: DataFrame
     rebuilt: int
     kept: int
     removed: int
+    rebuilt_paths: tuple[str, ...] = ()
+    kept_paths: tuple[str, ...] = ()
+    removed_paths: tuple[str, ...] = ()
 
 
 def input_files(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
@@ -85,8 +90,11 @@ def refresh(
         entries += [(*r, built.schema.json()) for r in changed]
     if changed or outdated:
         spark.createDataFrame(entries, _ENTRY).coalesce(1).write.mode("overwrite").parquet(manifest)
-    gone = {r.source for r in old} - {r.source for r in current}
+    here = {r.source for r in current}
+    gone = {r.source: r.path for r in old if r.source not in here}
     if not entries and not old:
         raise ValueError(f"no files below {folder}, and nothing stored at {path}")
     schema = StructType.fromJson(json.loads((entries or [tuple(r) for r in old])[-1][-1]))
-    return Refreshed(spark.read.schema(schema).parquet(data).drop(SOURCE), len(changed), len(same), len(gone))
+    table = spark.read.schema(schema).parquet(data).drop(SOURCE)
+    paths = [tuple(r.path for r in changed), tuple(r[1] for r in same), tuple(gone.values())]
+    return Refreshed(table, len(changed), len(same), len(gone), *paths)

@@ -5,7 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from cohortspark.catalog import sources
 from cohortspark.sources.incremental import refresh
+from helpers import SMALL
 
 
 def write(spark, folder, part, ids):
@@ -67,3 +69,18 @@ def test_nothing_passes_and_nothing_is_there(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     with pytest.raises(ValueError, match="no files"):
         refresh(spark, str(tmp_path / "empty"), str(tmp_path / "other"), none, "1")
+
+
+def test_parts_of_the_query_are_written_by_many_tasks(spark, monkeypatch):
+    files = []
+
+    def watched(spark, folder, *rest):
+        run = refresh(spark, folder, *rest)
+        files.append([len([p for p in run.rebuilt_paths + run.kept_paths if f"/part{i}/" in p]) for i in range(4)])
+        return run
+
+    monkeypatch.setattr(sources, "refresh", watched)
+    got = [tuple(r)[:4] for r in sources.refresh_changed(spark, SMALL).collect()]
+    assert got == [("built", 4, 0, 0), ("unchanged", 0, 4, 0), ("file replaced", 1, 3, 1), ("parameter changed", 4, 0, 0)]
+    assert min(files[0]) > 1 and files[0] == files[1]
+    assert files[2] == files[3] == [files[0][0], 1, *files[0][2:]]
