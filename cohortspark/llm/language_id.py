@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,17 +41,44 @@ def grams(word: str, n: int) -> list[str]:
     return [framed[i : i + n] for i in range(max(1, len(framed) - n + 1))]
 
 
-def log_frequencies(counts: dict[tuple[str, str], int], languages: list[str]) -> dict[str, np.ndarray]:
-    """Per key the log frequency in each language, smoothed, less the mean over the languages."""
-    totals = Counter()
-    for (lang, _), n in counts.items():
-        totals[lang] += n
-    keys = {k for _, k in counts}
-    out = {}
-    for k in keys:
-        row = np.array([math.log((counts.get((lang, k), 0) + 0.1) / (totals[lang] + 0.1 * len(keys))) for lang in languages])
-        out[k] = row - row.mean()
-    return out
+class Table:
+    """Rows of a matrix by key. Keys travel as one Arrow array; what looks them up is only made where it is used."""
+
+    def __init__(self, keys: pa.Array, rows: np.ndarray) -> None:
+        self.keys, self.rows, self._at = keys, rows, None
+
+    def __getstate__(self) -> tuple[pa.Array, np.ndarray]:
+        return self.keys, self.rows
+
+    def __setstate__(self, state: tuple[pa.Array, np.ndarray]) -> None:
+        self.__init__(*state)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def get(self, key: str) -> np.ndarray | None:
+        if self._at is None:
+            self._at = {k: i for i, k in enumerate(self.keys.to_pylist())}
+        at = self._at.get(key)
+        return None if at is None else self.rows[at]
+
+
+def log_frequencies(counts: pa.Table, languages: list[str]) -> Table:
+    """Per key the log frequency in each language, smoothed, less the mean over the languages.
+
+    `counts` has lang, key and n, one row for each language and key.
+    """
+    coded = counts["key"].combine_chunks().dictionary_encode()
+    keys, place = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    lang = pc.index_in(counts["lang"], pa.array(languages, pa.string())).to_numpy()
+    found = np.zeros((len(keys), len(languages)), dtype=np.int64)
+    found[place, lang] = counts["n"].to_numpy()
+    rows = np.zeros(found.shape)
+    for j, column in enumerate(found.T):
+        total = int(column.sum()) + 0.1 * len(keys)
+        kinds, kind = np.unique(column, return_inverse=True)
+        rows[:, j] = np.array([math.log((n + 0.1) / total) for n in kinds.tolist()])[kind]
+    return Table(keys, rows - rows.mean(axis=1, keepdims=True) if rows.size else rows)
 
 
 @dataclass
@@ -58,8 +86,8 @@ class Model:
     """Log frequencies of words, and of n-grams by their length."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    words: Table
+    grams: dict[int, Table]
     cache: dict[str, np.ndarray] = field(default_factory=dict)
 
     def word(self, word: str) -> np.ndarray:
@@ -67,8 +95,7 @@ class Model:
         if known is not None:
             return known
         for n in range(MAX_GRAM, 0, -1):
-            of = self.grams.get(n, {})
-            found = [of[g] for g in grams(word, n) if g in of]
+            found = [row for row in map(self.grams[n].get, grams(word, n)) if row is not None]
             if found:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.languages))
@@ -142,24 +169,19 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, min_count:
     )
     try:
         known = words.where(F.col("n") >= min_count)
-        of_words = {(r["lang"], r["word"]): r["n"] for r in known.collect()}
+        of_words = known.select("lang", F.col("word").alias("key"), "n").toArrow()
         parts = (
             words.mapInArrow(_gram_counts, "lang string, size int, gram string, n long")
             .groupBy("lang", "size", "gram")
             .agg(F.sum("n").alias("n"))
             .where(F.col("n") >= min_count)
         )
-        of_grams: dict[int, dict] = {n: {} for n in range(1, MAX_GRAM + 1)}
-        for r in parts.collect():
-            of_grams[r["size"]][r["lang"], r["gram"]] = r["n"]
-        languages = sorted({lang for by in (of_words, *of_grams.values()) for lang, _ in by})
+        of_grams = parts.select("lang", "size", F.col("gram").alias("key"), "n").toArrow()
     finally:
         words.unpersist()
-    return Model(
-        languages,
-        log_frequencies(of_words, languages),
-        {n: log_frequencies(c, languages) for n, c in of_grams.items()},
-    )
+    languages = sorted({*pc.unique(of_words["lang"]).to_pylist(), *pc.unique(of_grams["lang"]).to_pylist()})
+    by_size = {n: of_grams.filter(pc.equal(of_grams["size"], n)) for n in range(1, MAX_GRAM + 1)}
+    return Model(languages, log_frequencies(of_words, languages), {n: log_frequencies(c, languages) for n, c in by_size.items()})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -93,6 +93,23 @@ def toxic(spark):
     return docs, marks, toxicity.fit(docs, marks)
 
 
+def test_language_model_travels_as_few_arrays_and_scores_as_defined(languages):
+    import math
+    import pickle
+
+    import pyarrow as pa
+
+    counts = {("de", "x"): 4, ("en", "x"): 1, ("en", "y"): 7}
+    columns = {"lang": [k[0] for k in counts], "key": [k[1] for k in counts], "n": list(counts.values())}
+    found = language_id.log_frequencies(pa.table(columns), ["de", "en"])
+    for key in "xy":
+        row = [math.log((counts.get((lang, key), 0) + 0.1) / (total + 0.2)) for lang, total in (("de", 4), ("en", 8))]
+        assert found.get(key).tolist() == [v - sum(row) / 2 for v in row]
+    assert found.get("z") is None
+    keys = len(languages.words) + sum(map(len, languages.grams.values()))
+    assert len(pickle.dumps(languages, 5)) < 64 * keys + 20_000  # one array a key took more than twice as much
+
+
 def test_toxicity_of_held_out_documents(toxic):
     docs, marks, model = toxic
     rows = [r for r in toxicity.score(docs, model).join(marks, "doc_id").collect() if r.held_out]
