@@ -107,7 +107,7 @@ def test_language_model_travels_as_few_arrays_and_scores_as_defined(languages):
         assert found.get(key).tolist() == [v - sum(row) / 2 for v in row]
     assert found.get("z") is None
     keys = len(languages.words) + sum(map(len, languages.grams.values()))
-    assert len(pickle.dumps(languages, 5)) < 64 * keys + 20_000  # one array a key took more than twice as much
+    assert len(pickle.dumps(languages, 5)) < 64 * keys + 20_000  # one array a key took more
 
 
 def test_toxicity_of_held_out_documents(toxic):
