@@ -28,7 +28,7 @@ from cohortspark.operators.dedup import ranked_limit
 from cohortspark.operators.huber import ModifiedHuberModel, fit_modified_huber, huber_objective
 from cohortspark.operators.linear import Minimum, Objective, fit_columns, score_columns
 from cohortspark.operators.splits import split_columns, stratified_folds, stratified_split
-from cohortspark.session import stored
+from cohortspark.session import scratch_path, stored
 
 Fit = Callable[[DataFrame], object]
 
@@ -76,9 +76,13 @@ def fit_forest(
     """Random forest with balanced class weights.
 
     Spark's trees keep one integer per row and feature, so a wide sparse set costs rows times
-    width; run it on the dense set.
+    width; run it on the dense set. Rows keep the node they are at in every tree: deep trees take many passes, and
+    without that each pass would send all trees to all tasks and walk them from the root again. The trees are the same.
     """
     weighted, _ = _weighted(train, label, features)
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # else the lineage of the kept nodes grows with every pass
+        context.setCheckpointDir(scratch_path(train.sparkSession, "forest"))
     return RandomForestClassifier(
         labelCol=label,
         featuresCol=features,
@@ -86,6 +90,7 @@ def fit_forest(
         numTrees=num_trees,
         maxDepth=max_depth,
         featureSubsetStrategy="sqrt",
+        cacheNodeIds=True,
         seed=seed,
         probabilityCol="_probability",
         rawPredictionCol="_raw",

@@ -210,3 +210,13 @@ def test_bundle_roundtrip_and_scoring(spark, bundle, tmp_path):
 def test_cv_summary_uses_the_population_deviation(spark):
     folds = spark.createDataFrame([("m", 0, 0.7), ("m", 1, 0.8)], "Model string, fold int, auc double")
     assert tuple(T.cv_summary(folds).first()) == ("m", 0.75, 0.05, "0.7500+/-0.0500")
+
+
+def test_forest_keeps_the_node_of_every_row_and_its_trees(spark, data):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    model = T.fit_forest(data, num_trees=5, max_depth=6)
+    assert model.getOrDefault("cacheNodeIds") and spark.sparkContext.getCheckpointDir()
+    weighted, _ = T._weighted(data, "label", "features")
+    plain = RandomForestClassifier(weightCol="weight", numTrees=5, maxDepth=6, featureSubsetStrategy="sqrt", seed=C.SEED).fit(weighted)
+    assert model.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
