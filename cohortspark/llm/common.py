@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,11 @@ def bounded_sample(rows: DataFrame, label: str, rows_per_label: int, seed: str,
     return rows.where(unit < F.element_at(shares, F.col(label)))
 
 
+def release_arrow() -> None:
+    """Give back to the system what freed Arrow tables still hold in this process: on the driver, after tables came in."""
+    pa.default_memory_pool().release_unused()
+
+
 __all__ = [
     "ASCII_LOWER",
     "DOCUMENT_COLUMNS",
@@ -62,6 +68,7 @@ __all__ = [
     "discard",
     "fold",
     "held_out",
+    "release_arrow",
     "stored",
     "table",
 ]

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import bounded_sample, held_out
+from cohortspark.llm.common import bounded_sample, held_out, release_arrow
 
 #: A word of letters. Digits, underscores and punctuation end it.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -181,7 +181,10 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, min_count:
         words.unpersist()
     languages = sorted({*pc.unique(of_words["lang"]).to_pylist(), *pc.unique(of_grams["lang"]).to_pylist()})
     by_size = {n: of_grams.filter(pc.equal(of_grams["size"], n)) for n in range(1, MAX_GRAM + 1)}
-    return Model(languages, log_frequencies(of_words, languages), {n: log_frequencies(c, languages) for n, c in by_size.items()})
+    model = Model(languages, log_frequencies(of_words, languages), {n: log_frequencies(c, languages) for n, c in by_size.items()})
+    del of_words, of_grams, by_size
+    release_arrow()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.llm import exact_dedup, jaccard_join, rp_forest
+from cohortspark.llm import exact_dedup, graph, jaccard_join, rp_forest
 from cohortspark.llm.graph import connected_components
 from cohortspark.llm.jaccard_join import Threshold, band_keys, band_parts, common, keys_by_band, linked_forest, set_keys
 from cohortspark.llm.shingles import shingle_set, word_hashes
+from cohortspark.session import stored
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -246,6 +247,18 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_run_no_round_for_stars_and_broadcast_nothing_in_one(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "stored", lambda df, name: written.append(name) or stored(df, name))
+    stars = spark.createDataFrame([(7, i) for i in range(20, 60)] + [(9, 8)], "a long, b long")
+    found = graph.connected_components(stars, "stars").collect()
+    assert {r.id: r.component for r in found} == {i: 7 for i in [7, *range(20, 60)]} | {8: 8, 9: 8}
+    assert written == ["stars"] * 2  # the edges and the result
+    chain = stored(spark.createDataFrame([(i + 1, i) for i in range(20)], "a long, b long"), "chain")
+    plan = graph._small_star(stored(graph._large_star(chain), "tied"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 # --- vectors ---------------------------------------------------------------
 
 
