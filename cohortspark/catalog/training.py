@@ -33,9 +33,8 @@ def _sides(df):
 
 def _labelled_tfidf(spark, sf):
     """Labelled documents as TF-IDF vectors, stored, with the fitted model."""
-    docs = W.stored_clean_documents(spark, sf)
     labels = W.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    labelled = docs.join(labels, "doc_id")
+    labelled = W.stored_clean_documents(spark, sf, labels).join(labels, "doc_id")
     model = TI.fit_tfidf(labelled, "clean_text")
     return model, model.stored_vectors(labelled, "clean_text")
 
@@ -181,8 +180,7 @@ def per_cohort_models(spark, sf):
 def ensemble_on_split(spark, sf):
     """Classifiers on two feature sets, trained on the same split and averaged on its test side."""
     _, tfidf = _labelled_tfidf(spark, sf)
-    docs = W.stored_clean_documents(spark, sf).join(tfidf.select("doc_id"), "doc_id", "left_semi")
-    embedded = E.embed(docs, "doc_id", "clean_text", E.HashedTokens(64))
+    embedded = E.embed(W.clean_documents(spark, sf, tfidf), "doc_id", "clean_text", E.HashedTokens(64))
     labels = tfidf.select("doc_id", "label")
     dense = embedded.select("doc_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).join(labels, "doc_id")
     scores = []
@@ -195,9 +193,8 @@ def ensemble_on_split(spark, sf):
 
 def _bundle(spark, sf):
     """Classifier and gene models on hashed embeddings of the labelled documents, saved."""
-    docs = W.stored_clean_documents(spark, sf)
     labels = W.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"), "toxic")
-    vectors = E.embed(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), "doc_id", "clean_text", E.HashedTokens(64))
+    vectors = E.embed(W.clean_documents(spark, sf, labels), "doc_id", "clean_text", E.HashedTokens(64))
     data = stored(
         vectors.join(labels, "doc_id").select(
             "doc_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), "label", "toxic"
@@ -300,8 +297,7 @@ def score_reports_given(spark, sf):
 def _labelled_dense(spark, sf):
     """Labelled documents as dense vectors."""
     labels = W.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    docs = W.stored_clean_documents(spark, sf).join(labels.select("doc_id"), "doc_id", "left_semi")
-    embedded = E.embed(docs, "doc_id", "clean_text", E.HashedTokens(64))
+    embedded = E.embed(W.clean_documents(spark, sf, labels), "doc_id", "clean_text", E.HashedTokens(64))
     vector = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     return embedded.select("doc_id", vector).join(labels, "doc_id").select("doc_id", "label", "features")
 

@@ -6,12 +6,14 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from cohortspark import constants as C
+from cohortspark.catalog import views as W
 from cohortspark.operators import embedding as E
 from cohortspark.operators import huber as H
 from cohortspark.operators import training as T
 from cohortspark.plans import scoring as SC
 from cohortspark.sources import checkpoints as K
 from cohortspark.streaming.score_stream import score_stream
+from helpers import SMALL
 
 
 def blobs(n=240, dim=4, seed=1, shift=1.0):
@@ -220,3 +222,29 @@ def test_forest_keeps_the_node_of_every_row_and_its_trees(spark, data):
     weighted, _ = T._weighted(data, "label", "features")
     plain = RandomForestClassifier(weightCol="weight", numTrees=5, maxDepth=6, featureSubsetStrategy="sqrt", seed=C.SEED).fit(weighted)
     assert model.toDebugString.split("\n")[1:] == plain.toDebugString.split("\n")[1:]
+
+
+def test_digests_are_taken_once_a_token(monkeypatch):
+    taken, md5 = [], E.hashlib.md5
+    monkeypatch.setattr(E.hashlib, "md5", lambda data: (taken.append(data), md5(data))[1])
+    encode = E.HashedTokens(16)()
+    first, again = encode(["a b a"]), encode(["b a", "c"])
+    assert sorted(taken) == [b"a", b"b", b"c"]
+    whole = E.HashedTokens(16).encode(["a b a", "b a", "c"])
+    assert np.array_equal(np.vstack([first, again]), whole)
+
+
+def test_tokens_beyond_those_remembered(monkeypatch):
+    texts = ["a b", "c d e f g", "", "a c a", "h", "b"]
+    whole = E.HashedTokens(32).encode(texts)
+    monkeypatch.setattr(E, "REMEMBERED", 3)
+    encode = E.HashedTokens(32)()
+    assert np.array_equal(np.vstack([encode([t]) for t in texts]), whole)
+
+
+def test_only_the_asked_documents_are_cleaned(spark):
+    ids = W.table(spark, SMALL, "labels").select("doc_id")
+    every = {r.doc_id: r.clean_text for r in W.clean_documents(spark, SMALL).collect()}
+    asked = {r.doc_id: r.clean_text for r in W.clean_documents(spark, SMALL, ids).collect()}
+    wanted = {r.doc_id for r in ids.collect()}
+    assert 0 < len(asked) < len(every) and asked == {k: v for k, v in every.items() if k in wanted}
