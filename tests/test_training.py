@@ -248,3 +248,16 @@ def test_only_the_asked_documents_are_cleaned(spark):
     asked = {r.doc_id: r.clean_text for r in W.clean_documents(spark, SMALL, ids).collect()}
     wanted = {r.doc_id for r in ids.collect()}
     assert 0 < len(asked) < len(every) and asked == {k: v for k, v in every.items() if k in wanted}
+
+
+def test_word_vectors_read_the_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    rows = spark.createDataFrame([(i, "lung node lymph") for i in range(40)], "id int, t string")
+    out = E.word2vec_embed(rows.select("id", counted("t").alias("t")), "id", "t", dim=4, partitions=2).collect()
+    assert len(out) == 40 and all(len(r.embedding) == 4 for r in out) and read.value == 40
