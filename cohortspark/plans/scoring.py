@@ -14,6 +14,7 @@ from cohortspark.functions import text as X
 from cohortspark.functions import values as V
 from cohortspark.operators.dedup import topk_per_group
 from cohortspark.operators.embedding import EncoderFactory, embed, encoder_name
+from cohortspark.operators.forest import StoredForest
 from cohortspark.operators.huber import ModifiedHuberModel
 from cohortspark.sources.checkpoints import Bundle
 
@@ -21,6 +22,9 @@ from cohortspark.sources.checkpoints import Bundle
 def _probability(df: DataFrame, model, out: str) -> DataFrame:
     if isinstance(model, ModifiedHuberModel):
         return df.withColumn(out, model.probability(F.col("features")))
+    if isinstance(model, StoredForest):  # rows leave Spark for it, and vectors do so as arrays
+        held = df.withColumns({"_features": F.col("features"), "features": vector_to_array("features")})
+        return model.transform(held, "_features", out).withColumn("features", array_to_vector("features"))
     scored = model.transform(df)
     produced = [model.getProbabilityCol(), model.getRawPredictionCol(), model.getPredictionCol()]
     return scored.withColumn(out, vector_to_array(model.getProbabilityCol())[1]).drop(*produced)

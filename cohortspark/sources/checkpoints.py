@@ -9,10 +9,11 @@ from pyspark.ml.classification import LogisticRegressionModel, RandomForestClass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspark.operators.forest import StoredForest
 from cohortspark.operators.huber import ModifiedHuberModel
 
 MANIFEST = "name string, kind string, gene string, path string, dim int, encoder string"
-_LOADERS = {m.__name__: m for m in (LogisticRegressionModel, RandomForestClassificationModel, ModifiedHuberModel)}
+_LOADERS = {m.__name__: m for m in (LogisticRegressionModel, RandomForestClassificationModel, ModifiedHuberModel, StoredForest)}
 
 
 def checkpoint(df: DataFrame, path: str) -> DataFrame:
@@ -59,7 +60,7 @@ class Bundle:
         """One directory per model, and a manifest table written last."""
         for _, _, gene, place, _, _ in self.manifest_rows():
             model = self.classifier if gene is None else self.gene_models[gene]
-            if isinstance(model, ModifiedHuberModel):
+            if isinstance(model, ModifiedHuberModel | StoredForest):
                 model.save(spark, f"{path}/{place}")
             else:
                 model.write().overwrite().save(f"{path}/{place}")
