@@ -31,10 +31,14 @@ def _sides(df):
     return tuple(df.where(F.col("split") == side).drop("split") for side in ("train", "test"))
 
 
-def _labelled_tfidf(spark, sf):
-    """Labelled documents as TF-IDF vectors, stored, with the fitted model."""
-    labels = W.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    labelled = W.stored_clean_documents(spark, sf, labels).join(labels, "doc_id")
+def _labels(spark, sf):
+    return W.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+
+
+def _labelled_tfidf(spark, sf, clean=None):
+    """Labelled documents as TF-IDF vectors, stored, with the fitted model; `clean` are these documents, cleaned and stored."""
+    labels = _labels(spark, sf)
+    labelled = (clean or W.stored_clean_documents(spark, sf, labels)).join(labels, "doc_id")
     model = TI.fit_tfidf(labelled, "clean_text")
     return model, model.stored_vectors(labelled, "clean_text")
 
@@ -294,10 +298,11 @@ def score_reports_given(spark, sf):
     return scored.withColumn("top_likely_genes", F.array_join(shown, ", "))
 
 
-def _labelled_dense(spark, sf):
-    """Labelled documents as dense vectors."""
-    labels = W.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    embedded = E.embed(W.clean_documents(spark, sf, labels), "doc_id", "clean_text", E.HashedTokens(64))
+def _labelled_dense(spark, sf, clean=None):
+    """Labelled documents as dense vectors, stored: the split reads them three times."""
+    labels = _labels(spark, sf)
+    docs = clean or W.clean_documents(spark, sf, labels)
+    embedded = stored(E.embed(docs, "doc_id", "clean_text", E.HashedTokens(64)), "embedded")
     vector = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     return embedded.select("doc_id", vector).join(labels, "doc_id").select("doc_id", "label", "features")
 
@@ -310,7 +315,8 @@ def _on_split(data, name):
 @query("compare_feature_sets")
 def compare_feature_sets(spark, sf):
     """Every model on both feature sets, the difference, and the winners of both averaged."""
-    sets = {"TF-IDF": _labelled_tfidf(spark, sf)[1], "Dense": _labelled_dense(spark, sf)}
+    clean = W.stored_clean_documents(spark, sf, _labels(spark, sf))
+    sets = {"TF-IDF": _labelled_tfidf(spark, sf, clean)[1], "Dense": _labelled_dense(spark, sf, clean)}
     return CO.compare({name: _on_split(data, name.lower()) for name, data in sets.items()}, "doc_id").summary()
 
 

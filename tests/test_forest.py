@@ -16,6 +16,7 @@ from cohortspark.operators import training as T
 from cohortspark.operators.metrics import auc
 from cohortspark.plans import scoring as SC
 from cohortspark.sources import checkpoints as K
+from helpers import SMALL
 
 SCHEMA = StructType([StructField("id", IntegerType()), StructField("features", VectorUDT()), StructField("label", IntegerType())])
 
@@ -169,3 +170,27 @@ def test_missing_vectors_and_other_labels_are_refused(spark, data, many):
 def test_one_class_gives_leaves(spark, data, many):
     model = T.fit_forest(data.withColumn("label", F.lit(1)), num_trees=3, max_depth=4)
     assert {r.probability for r in T.score_all(model, data).collect()} == {1.0}
+
+
+def test_folds_and_sides_of_many_rows(spark, data, many):
+    """Cross-validation, results and the comparison of feature sets with stored forests."""
+    from cohortspark.operators.splits import stratified_split
+    from cohortspark.plans import comparison as CO
+
+    models = {"Random Forest": lambda train: T.fit_forest(train, num_trees=10, max_depth=6)}
+    scores = T.cv_scores(data, "id", models, k=2)
+    assert scores.count() == 600 and scores.where("probability is null").count() == 0
+    assert T.cv_auc(data, "id", models, k=2).first().CV_AUC_mean > 0.85
+    split = stratified_split(data, "id", "label").localCheckpoint()
+    train, test = (split.where(F.col("split") == side).drop("split") for side in ("train", "test"))
+    row = T.model_results(train, test, "id", models, k=2).first()
+    assert row.Train_AUC > row.Test_AUC > 0.8 and row.CV_AUC_mean > 0.8
+    found = CO.compare({"TF-IDF": split, "Dense": split}, "id", {name: models for name in ("TF-IDF", "Dense")})
+    assert isinstance(found.base.model, FO.StoredForest) and found.delta.first().Delta == 0.0
+
+
+def test_labelled_documents_are_embedded_once(spark):
+    from cohortspark.catalog import training as catalog
+
+    plan = catalog._labelled_dense(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "Scan parquet" in plan
