@@ -36,7 +36,7 @@ BINS, DENSE = 32, 1024
 #: Values a task summarises at once, points a summary of a feature has at most.
 AT_ONCE, POINTS = 1 << 21, 256
 #: Histogram cells, stored entries and matrix cells that a task has in hand at once.
-CELLS, ENTRIES, BLOCK = 1 << 21, 1 << 20, 1 << 25
+CELLS, ENTRIES, BLOCK = 1 << 21, 1 << 19, 1 << 24
 #: Stored values up to which a task also keeps a sparse matrix by columns.
 BY_COLUMNS = 1 << 26
 
@@ -58,8 +58,8 @@ def _stored_rows(path: str, columns: Sequence[str] | None = None) -> Iterator[di
     for name in names:
         with fs.open_input_file(name) as handle:
             file = pq.ParquetFile(handle)
-            for group in range(file.num_row_groups):
-                yield from file.read_row_group(group, columns).to_pylist()
+            for batch in file.iter_batches(batch_size=8, columns=columns):
+                yield from batch.to_pylist()
 
 
 def _binary(rows: Sequence[Sequence], schema: str, names: Sequence[str]) -> pa.RecordBatch:
@@ -200,6 +200,10 @@ def vector_width(df: DataFrame, features: str) -> int:
     return found[0] if found else 0
 
 
+def _index_type(dim: int) -> type:
+    return np.uint16 if dim <= 1 << 16 else np.int32
+
+
 def _stored_matrix(data: DataFrame, cuts_path: str, dim: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = _Cuts.read(cuts_path, dim)
@@ -208,12 +212,12 @@ def _stored_matrix(data: DataFrame, cuts_path: str, dim: int) -> DataFrame:
             rows, index, value = csr(batch, "x")
             bins = cuts.bins(index, value)
             if dim <= DENSE:
-                none = np.empty(0, np.int32)
+                none = np.empty(0, np.uint8)
                 yield _binary([(n, label, none, none, cuts.dense(n, rows, index, bins))], MATRIX, _names(MATRIX))
             else:
                 other = bins != cuts.zero[index]
                 lengths = np.bincount(rows[other], minlength=n).astype(np.int32)
-                yield _binary([(n, label, lengths, index[other].astype(np.int32), bins[other])], MATRIX, _names(MATRIX))
+                yield _binary([(n, label, lengths, index[other].astype(_index_type(dim)), bins[other])], MATRIX, _names(MATRIX))
 
     return stored(data.mapInArrow(run, MATRIX), "forest-matrix")
 
@@ -474,7 +478,7 @@ def _read_matrix(path: str, cuts_path: str, dim: int) -> _Dense | _Sparse:
     for row in _stored_rows(path):
         label.append(np.frombuffer(row["label"], np.uint8))
         lengths.append(np.frombuffer(row["lengths"], np.int32))
-        feature.append(np.frombuffer(row["feature"], np.int32).astype(np.uint16 if dim <= 1 << 16 else np.int32))
+        feature.append(np.frombuffer(row["feature"], _index_type(dim)))
         bins.append(np.frombuffer(row["bin"], np.uint8))
     label, bins = np.concatenate(label), np.concatenate(bins)
     if dim <= DENSE:
