@@ -189,6 +189,14 @@ def test_folds_and_sides_of_many_rows(spark, data, many):
     assert isinstance(found.base.model, FO.StoredForest) and found.delta.first().Delta == 0.0
 
 
+def test_importance_names_the_strongest_features(spark, data, many):
+    model = T.fit_forest(data, num_trees=30, max_depth=8)
+    names = spark.range(model.numFeatures).select(F.col("id").cast("int").alias("term_idx"), F.format_string("dimension %d", "id").alias("term"))
+    found = T.feature_importance(model, names, k=3).collect()
+    assert {r.feature for r in found} == {"dimension 0", "dimension 1", "dimension 2"} and all(r.direction is None for r in found)
+    assert [r.value for r in found] == sorted((r.value for r in found), reverse=True)
+
+
 def test_labelled_documents_are_embedded_once(spark):
     from cohortspark.catalog import training as catalog
 
